@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm.bpe import encode_decode
 from tarn.llm.exact_dedup import exact_dedup
 from tarn.llm.exact_topk import exact_topk
 from tarn.llm.mixing import mix_sources
+from tarn.llm.quality import fit_quality, held_out, score_quality
 from tarn.llm.sharding import shard_by_bytes, text_size
 from tarn.llm.simhash import simhash_groups
 
@@ -45,17 +48,31 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return encode_decode(_table(spark, sf_dir, "documents"), path, ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_topk": op1_exact_topk,
         "op2_sharding": op2_sharding,
         "op3_mixing": op3_mixing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op8_bpe": op8_bpe,
         "op9_simhash": op9_simhash,
+        "op10_quality": op10_quality,
     }
 
 
