@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarn.llm.bpe import encode_decode
 from tarn.llm.exact_dedup import exact_dedup
 from tarn.llm.exact_topk import exact_topk
+from tarn.llm.language_id import identify_languages, train_text_model
 from tarn.llm.mixing import mix_sources
 from tarn.llm.quality import fit_quality, held_out, score_quality
 from tarn.llm.sharding import shard_by_bytes, text_size
@@ -48,6 +49,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    # Documents have no address or markup: their source stands for the host.
+    found = identify_languages(docs, train_text_model(docs), "doc_id", F.col("text"), host=F.col("source"))
+    return found.select("doc_id", "lang", "probability", "kept")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return encode_decode(_table(spark, sf_dir, "documents"), path, ("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -70,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_mixing": op3_mixing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_language_id": op7_language_id,
         "op8_bpe": op8_bpe,
         "op9_simhash": op9_simhash,
         "op10_quality": op10_quality,
