@@ -14,6 +14,7 @@ from tarn.llm.exact_topk import exact_topk
 from tarn.llm.language_id import identify_languages, train_text_model
 from tarn.llm.mixing import mix_sources
 from tarn.llm.quality import fit_quality, held_out, score_quality
+from tarn.llm.secret_scan import scan_secrets
 from tarn.llm.sharding import shard_by_bytes, text_size
 from tarn.llm.simhash import simhash_groups
 
@@ -44,6 +45,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.repartitionByRange(F.col("first_position").asc_nulls_last()).sortWithinPartitions(F.col("first_position").asc_nulls_last())
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_topk": op1_exact_topk,
         "op2_sharding": op2_sharding,
         "op3_mixing": op3_mixing,
+        "op4_secret_scan": op4_secret_scan,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_language_id": op7_language_id,
         "op8_bpe": op8_bpe,

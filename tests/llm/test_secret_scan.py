@@ -1,0 +1,59 @@
+"""Secret scans: places, held-out accuracy of the forest and edges."""
+
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from tarn.llm.secret_scan import ASSIGNED, RUN, findings, forest_score, labelled_findings, redacted, scan_secrets, train_forest, with_features
+
+
+def test_held_out_accuracy(spark):
+    rows = labelled_findings(spark, 4000).withColumn("fold", F.pmod(F.xxhash64("value", "before"), F.lit(4)))
+    model = train_forest(rows.where("fold <> 0"))
+    scored = with_features(rows.where("fold = 0")).withColumn("guess", (forest_score(model) >= 0.5).cast("int"))
+    right, n = scored.agg(F.sum((F.col("guess") == F.col("label")).cast("int")), F.count(F.lit(1))).first()
+    assert n > 800 and right / n > 0.95
+    # The expression is the forest itself.
+    both = model.transform(with_features(rows.where("fold = 0"))).withColumn("mine", forest_score(model))
+    agree = both.select((F.col("prediction") == (F.col("mine") > 0.5).cast("double")).alias("x")).where("not x").count()
+    assert agree <= 2
+
+
+def test_scan(spark):
+    rng = random.Random(1)
+    digest = lambda x: hashlib.sha1(str(x).encode()).hexdigest()
+    prose = lambda n: " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 22))) for _ in range(n))
+    rows, planted = [], {}
+    for i in range(200):
+        kind = i % 5
+        secret = ["", digest(i), "AKIA" + "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ234567", k=16)), digest(i)[:18], ""][kind]
+        lead = ["", 'token = "', "", "password=", ""][kind]
+        harmless = str(rng.randint(4 * 10**15, 5 * 10**15)) if kind == 4 else ""
+        rows.append((i, f"{prose(30)} {lead}{secret}{harmless}{chr(34) if kind == 1 else ''} {prose(10)}\n{prose(5)}", "x"))
+        if secret:
+            planted[i] = secret
+    rows += [(500, None, None), (501, "", None), (None, "password=abcdef123456 end", "x"), (502, ("é\U0001f600 " * 40_000) + 'token = "' + digest("far") + '"', "x")]
+    planted[502] = digest("far")
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3)
+    got = scan_secrets(df).collect()
+    texts = {i: t for i, t, _ in rows}
+    for r in got:
+        assert texts[r.doc_id][r.start :].startswith(r.value) or r.doc_id == 502
+    far = next(r for r in got if r.doc_id == 502)
+    assert texts[502][far.start : far.start + far.length] == far.value == digest("far")
+    said = {r.doc_id: r.value for r in got if r.secret and r.doc_id is not None}
+    assert {k: (said.get(k), planted.get(k)) for k in said | planted if said.get(k) != planted.get(k)} == {}
+    assert any(r.doc_id is None for r in got)
+    clean = {r.doc_id: r.text for r in redacted(df, scan_secrets(df)).collect()}
+    assert all(v not in clean[i] for i, v in planted.items()) and clean[500] is None and clean[0] == texts[0]
+    assert scan_secrets(df.limit(0)).collect() == []
+
+
+def test_findings_are_all_matches(spark):
+    text = "a1b2c3d4e5f6g7h8 then password: hunter2hunter2, x " + "q" * 300 + "9" * 13 + " api_key='zz yy' token=abc"
+    got = findings(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("nth").collect()
+    plain = [m.group() for m in re.finditer(f"(?:(?i:{ASSIGNED[4:]}))|(?:{RUN})", text)]
+    assert len(got) == len(plain) and [r.nth for r in got] == list(range(len(plain)))
+    assert got[0].value == "a1b2c3d4e5f6g7h8" and got[1].value == "hunter2hunter2"
