@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 8  # bytes that the rolling hash sees
+WORDS = 400_000  # words whose ids a worker remembers
 #: The start of a run of white space: no tokenizer rule joins characters across it from the left.
 RUN = re.compile(r"(?<!\s)[ \t\n\r]")
 
@@ -56,6 +60,36 @@ def chunks(text: str, mean: int = 1024, least: int = 64, most: int = 8192) -> li
     return out
 
 
+def _byte_map() -> dict[int, str]:
+    """Byte-level models spell each byte as a printable character: printable ones as themselves, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+#: Fixed value: the pattern of word tokenizers whose words need no context (contractions, letters, single digits, marks).
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTE_MAP = _byte_map()
+ENDS = ".,;:!?"
+
+
+def separable(tokenizer) -> bool:
+    """Whether this is a tokenizer of the kind for which a text's ids are those of its words: white space is dropped,
+    the pattern is ``WORD_PATTERN``, text is lower-cased and spelled in bytes, and no added token has white space."""
+    config = json.loads(tokenizer.to_str())
+    steps = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    normal = (config.get("normalizer") or {}).get("normalizers", [])
+    return (
+        [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"]
+        and (normal[1]["pattern"], normal[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+        and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": WORD_PATTERN}, "Removed", True)
+        and not (steps[1]["add_prefix_space"] or steps[1]["use_regex"])
+        and not any(t["lstrip"] or t["rstrip"] or t["content"].isalpha() or any(c.isspace() for c in t["content"]) for t in config["added_tokens"])
+        and config.get("post_processor") is None
+    )
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk with any ``tokenizers`` tokenizer, each distinct chunk once while it is remembered.
 
@@ -67,6 +101,8 @@ class ChunkEncoder:
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
         self.size = 0
+        self.words: dict[str, list[int]] = {}
+        self.by_word, self.model = separable(tokenizer), tokenizer.model
         self.encoded = self.reused = self.merged = 0
 
     def _learn(self, pieces: Sequence[str]) -> None:
@@ -82,10 +118,38 @@ class ChunkEncoder:
                 new.append(p)
         if new:
             self.encoded += len(new)
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.young[p] = e.ids
+            for p, ids in zip(new, self._encode(new), strict=True):
+                self.young[p] = ids
                 self.size += len(p)
 
+    def _latin(self, word: str) -> bool:
+        return max(word) < "\u0250" and unicodedata.is_normalized("NFC", word)
+
+    def _encode(self, new: list[str]) -> list[list[int]]:
+        if not self.by_word:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        # White space separates tokens: a chunk's ids are those of its words, and most words have been met before.
+        split = [p.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for p in new]
+        if len(self.words) > WORDS:
+            self.words = {}
+        missing = list(set().union(*split) - self.words.keys())
+        rest = []
+        for word in missing:
+            core = word.rstrip(ENDS)
+            low = core.lower()
+            if core and core.isalpha() and low.isalpha() and (core.isascii() or self._latin(core)):
+                end = word[len(core) :]
+                if end and end not in self.words:
+                    self.words[end] = self.tokenizer.encode(end, add_special_tokens=False).ids
+                mapped = low if core.isascii() else low.encode().decode("latin-1").translate(BYTE_MAP)
+                ids = [t.id for t in self.model.tokenize(mapped)]
+                self.words[word] = ids + self.words[end] if end else ids
+            else:
+                rest.append(word)
+        for word, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.words[word] = e.ids
+        return [list(chain.from_iterable(map(self.words.__getitem__, ws))) for ws in split]
+
     def _forget(self) -> None:
         if self.size > self.remember // 2:
             self.old, self.young, self.size = self.young, {}, 0
@@ -186,6 +250,10 @@ OUTPUTS = {
 ARROW = {"array<int>": pa.list_(pa.int32()), "long": pa.int64(), "string": pa.string()}
 
 
+#: The encoder that a worker process keeps from task to task.
+_ENCODERS: dict[tuple[int, int], ChunkEncoder] = {}
+
+
 def encode_decode(
     docs: DataFrame, tokenizer_path: str, outputs: Sequence[str] = ("ids", "decoded"), id_col: str = "doc_id", text_col: str = "text", mean: int = 1024
 ) -> DataFrame:
@@ -207,10 +275,14 @@ def encode_decode(
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(model.value)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        encoder = ChunkEncoder(tokenizer, mean)
+        encoder = _ENCODERS.get((hash(model.value), mean))
+        if encoder is None:
+            tokenizer = Tokenizer.from_str(model.value)
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            _ENCODERS.clear()
+            encoder = _ENCODERS[hash(model.value), mean] = ChunkEncoder(tokenizer, mean)
+        tokenizer = encoder.tokenizer
         for whole in batches:
             for start in range(0, whole.num_rows, 64):
                 b = whole.slice(start, 64)

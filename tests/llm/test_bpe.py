@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from tarn.llm.bpe import ChunkEncoder, chunks, encode_decode
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-PARTS = ["don't", "It's", "été", "éá", "日本語", "  ", "\n\n", "\t", " ", " ", "3rd", "12345", "<|endoftext|>", "<|startoftext|> x", "...", "naïve", "İI", "ΣΑΣ", " ", "　", "́", "a" * 300, "\U0001f600", "The", "quick", "brown", "🏳️‍🌈", "'ll", "—"]
+PARTS = ["don't", "It's", "été", "éá", "日本語", "  ", "\n\n", "\t", " ", " ", "3rd", "12345", "<|endoftext|>", "<|startoftext|> x", "...", "naïve", "İI", "ΣΑΣ", " ", "　", "́", "a" * 300, "\U0001f600", "The", "quick", "brown", "🏳️‍🌈", "'ll", "—", "\x1c", "\x85", "\u2028", "\xa0x"]
 
 
 def random_text(rng, n):
@@ -33,6 +33,7 @@ def test_ids_are_those_of_whole_texts(name, mean):
     rng = random.Random(2)
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
     encoder = ChunkEncoder(tokenizer, mean, remember=20_000)
+    assert encoder.by_word == (name == "word_bpe_49k.json")
     texts = [random_text(rng, rng.choice([0, 1, 5, 60, 900])) for _ in range(150)]
     texts += ["", "word", " ", "y" * 5000, "z " * 5000, "\n" * 3000, texts[7] + texts[8] + texts[7]]
     for i in range(0, len(texts), 20):
@@ -56,3 +57,13 @@ def test_encode_decode(spark):
     assert encode_decode(df.limit(0), PATH).collect() == []
     plain = encode_decode(df.where(F.col("doc_id") == 0), PATH).first()
     assert plain.ids == tokenizer.encode(rows[0][1], add_special_tokens=False).ids and plain.decoded == tokenizer.decode(plain.ids, skip_special_tokens=False)
+
+
+def test_words_one_by_one():
+    """Every letter that the short way takes, in both cases and with marks after it, against the tokenizer."""
+    tokenizer = Tokenizer.from_file(PATH)
+    letters = [chr(c) for c in range(33, 0x250)]
+    words = [a + x + b for x in letters for a, b in (("", ""), ("Ab", ""), ("", "c,"), ("É", "ß!?"), ("x", "́"))] + ["don't", "It's.", "'s", "...", "a.b", "ΣΑΣ", "ﬁn", "Ab..,"]
+    encoder = ChunkEncoder(tokenizer)
+    for w in words:
+        assert encoder.encode_batch([w]) == [tokenizer.encode(w, add_special_tokens=False).ids], w
