@@ -12,6 +12,7 @@ from tarn.llm.bpe import encode_decode
 from tarn.llm.exact_dedup import exact_dedup
 from tarn.llm.exact_topk import exact_topk
 from tarn.llm.language_id import identify_languages, train_text_model
+from tarn.llm.line_dedup import line_dedup
 from tarn.llm.mixing import mix_sources
 from tarn.llm.quality import fit_quality, held_out, score_quality
 from tarn.llm.secret_scan import scan_secrets
@@ -54,6 +55,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents"), max_edits=2, least_chars=24).drop("_row")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     # Documents have no address or markup: their source stands for the host.
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_secret_scan": op4_secret_scan,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_line_dedup": op6_line_dedup,
         "op7_language_id": op7_language_id,
         "op8_bpe": op8_bpe,
         "op9_simhash": op9_simhash,
