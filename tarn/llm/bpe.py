@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 8  # bytes that the rolling hash sees
-WORDS = 400_000  # words whose ids a worker remembers
+WORDS = 800_000  # words whose ids a worker remembers
 #: The start of a run of white space: no tokenizer rule joins characters across it from the left.
 RUN = re.compile(r"(?<!\s)[ \t\n\r]")
 
@@ -103,6 +103,11 @@ class ChunkEncoder:
         self.size = 0
         self.words: dict[str, list[int]] = {}
         self.by_word, self.model = separable(tokenizer), tokenizer.model
+        # Without a decoder of its own, a tokenizer joins its tokens by spaces.
+        plain = tokenizer.decoder is None
+        self.spelled = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())] if plain else None
+        if plain and "" in self.spelled:
+            self.spelled = None
         self.encoded = self.reused = self.merged = 0
 
     def _learn(self, pieces: Sequence[str]) -> None:
@@ -162,7 +167,7 @@ class ChunkEncoder:
     @staticmethod
     def _tail(text: str, words: int) -> str | None:
         """The end of a text from the start of its ``words + 1``-th run of white space from the end."""
-        reach = 64 * (words + 1)
+        reach = 24 * (words + 1)
         part = text[-reach:]
         runs = [m.start() for m in RUN.finditer(part) if m.start()]
         return part[runs[-words - 1] :] if len(runs) > words else None
@@ -170,7 +175,7 @@ class ChunkEncoder:
     @staticmethod
     def _head(text: str, words: int) -> str | None:
         """The start of a text up to its ``words + 1``-th run of white space."""
-        part = text[: 64 * (words + 1)]
+        part = text[: 24 * (words + 1)]
         runs = [m.start() for m in RUN.finditer(part) if m.start()]
         return part[: runs[words]] if len(runs) > words else None
 
@@ -197,6 +202,12 @@ class ChunkEncoder:
             words *= 2
         return None
 
+    def decode(self, ids: list[int]) -> str:
+        """What the tokenizer's own decode gives, special tokens included."""
+        if self.spelled is None:
+            return self.tokenizer.decode(ids, skip_special_tokens=False)
+        return " ".join(map(self.spelled.__getitem__, ids))
+
     def encode_batch(self, texts: Sequence[str]) -> list[list[int]]:
         """The ids of each text: those of encoding it whole, without special tokens added."""
         self._forget()
@@ -282,13 +293,12 @@ def encode_decode(
             tokenizer.no_padding()
             _ENCODERS.clear()
             encoder = _ENCODERS[hash(model.value), mean] = ChunkEncoder(tokenizer, mean)
-        tokenizer = encoder.tokenizer
         for whole in batches:
             for start in range(0, whole.num_rows, 64):
                 b = whole.slice(start, 64)
                 found = []
                 for ids in encoder.encode_batch([x or "" for x in b.column(1).to_pylist()]):
-                    text = tokenizer.decode(ids, skip_special_tokens=False)
+                    text = encoder.decode(ids)
                     found.append([OUTPUTS[n][1](ids, text) for n in names])
                 columns = [pa.array([f[k] for f in found], ARROW[OUTPUTS[n][0]]) for k, n in enumerate(names)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_col, *names])

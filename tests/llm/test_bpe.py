@@ -40,6 +40,8 @@ def test_ids_are_those_of_whole_texts(name, mean):
         some = texts[i : i + 20]
         assert encoder.encode_batch(some) == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
     assert encoder.reused > 0
+    ids = [encoder.encode_batch([t])[0] for t in texts[:60]]
+    assert [encoder.decode(i) for i in ids] == [tokenizer.decode(i, skip_special_tokens=False) for i in ids]
 
 
 def test_encode_decode(spark):
