@@ -100,6 +100,6 @@ def absolute(root: str, logged: str) -> str:
 
 def relative(root: str, path: str) -> str:
     """A logged path for a file that may lie under the root."""
-    bare = lambda p: unquote(re.sub(r"^file:/+", "/", p))
-    inside, base = bare(path), bare(root).rstrip("/") + "/"
+    local = lambda p: re.sub(r"^file:/+", "/", p)
+    inside, base = unquote(local(path)), local(root).rstrip("/") + "/"
     return encode_path(inside[len(base) :]) if inside.startswith(base) else path

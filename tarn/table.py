@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tarn import fixed
 from tarn.functions import deletion_vectors as dv
-from tarn.functions.expressions import Predicate, Stats, always_false, parsed_partition, quoted, skipping_filter
+from tarn.functions.expressions import OpaquePredicate, Predicate, Stats, always_false, parsed_partition, quoted, skipping_filter
 from tarn.sources import actions
 from tarn.sources.files import Files, absolute
 from tarn.sources.log import LogFile, LogSegment, TableError, list_log, segment
@@ -377,8 +377,8 @@ class Snapshot:
             return None
         for path in predicate.references():
             self.resolve(path)
-        wanted = {self.resolve(p)[0] for p in predicate.references()}
-        schema = self.stats_schema(wanted)
+        own = any(isinstance(x, OpaquePredicate) for x in predicate.walk())  # may look at any column's statistics
+        schema = self.stats_schema(None if own else {self.resolve(p)[0] for p in predicate.references()})
         rule = None
 
         def keep(adds: DataFrame) -> DataFrame:
@@ -521,7 +521,7 @@ def _spark_uri(path: str) -> str:
     if path.startswith("/"):
         path = "file:" + path
     scheme, _, rest = path.partition(":")
-    rest = quote(rest, safe="/:@!$&'()*+,;=~-._")
+    rest = "".join(c if ord(c) > 127 else quote(c, safe="/:@!$&'()*+,;=~-._") for c in rest)
     return f"{scheme}:{'/' + rest.lstrip('/') if scheme == 'file' else rest}"
 
 
