@@ -14,6 +14,7 @@ from tarn.llm.exact_topk import exact_topk
 from tarn.llm.language_id import identify_languages, train_text_model
 from tarn.llm.line_dedup import line_dedup
 from tarn.llm.mixing import mix_sources
+from tarn.llm.oracles import ORACLE
 from tarn.llm.quality import fit_quality, held_out, score_quality
 from tarn.llm.secret_scan import scan_secrets
 from tarn.llm.sharding import shard_by_bytes, text_size
@@ -98,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
