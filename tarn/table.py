@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 from urllib.parse import quote
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from tarn import fixed
 from tarn.functions import deletion_vectors as dv
 from tarn.functions.expressions import OpaquePredicate, Predicate, Stats, always_false, parsed_partition, quoted, skipping_filter
+from tarn.functions.parser import parse_predicate
 from tarn.sources import actions
 from tarn.sources.files import Files, absolute
 from tarn.sources.log import LogFile, LogSegment, TableError, list_log, segment
@@ -212,6 +214,21 @@ def file_key(action: str) -> Column:
     return F.when(F.col(f"{action}.path").isNotNull(), F.struct(F.col(f"{action}.path").alias("path"), vector.alias("dv")))
 
 
+def _parsed(predicate: Predicate | str | None) -> Predicate | None:
+    return parse_predicate(predicate) if isinstance(predicate, str) else predicate
+
+
+@contextmanager
+def cancellable(spark: SparkSession, group: str) -> Iterator[Callable[[], None]]:
+    """Jobs that are started inside belong to ``group``; the function that this yields cancels them from any thread."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group, interruptOnCancel=True)
+    try:
+        yield lambda: context.cancelJobGroup(group)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 class Snapshot:
     """A table at one version."""
 
@@ -356,19 +373,21 @@ class Snapshot:
         The newest action of each file key in the commits wins; the checkpoint's files follow unless a commit speaks of
         them.  ``keep``, a filter over adds, is applied before anything is shuffled; removes always stay.
         """
-        rows = self.commits("add", "remove").where("add is not null or remove is not null")
-        key = F.coalesce(file_key("add"), file_key("remove"))
-        rows = rows.withColumn("_key", key)
+        old = self.checkpoint("add")
+        old = None if old is None else old.where("add is not null").select("add.*")
+        return self._reconciled(self.commits("add", "remove"), old, keep)
+
+    @staticmethod
+    def _reconciled(rows: DataFrame, old: DataFrame | None, keep: Callable | None) -> DataFrame:
+        rows = rows.where("add is not null or remove is not null").withColumn("_key", F.coalesce(file_key("add"), file_key("remove")))
         new = rows.groupBy("_key").agg(F.max_by("add", F.struct("version", F.col("add").isNotNull())).alias("add"))
         live = new.where("add is not null").select("add.*")
         live = keep(live) if keep else live
-        old = self.checkpoint("add")
         if old is None:
             return live
-        old = old.where("add is not null").select("add.*")
         old = keep(old) if keep else old
         spoken = new.select("_key")
-        old = old.withColumn("add", F.struct(*[F.col(c) for c in old.columns if c != "_stats"])).withColumn("_key", file_key("add"))
+        old = old.withColumn("add", F.struct(*[F.col(c) for c in old.columns])).withColumn("_key", file_key("add"))
         old = old.join(spoken, old["_key"].eqNullSafe(spoken["_key"]), "left_anti").drop("_key", "add")
         return live.unionByName(old)
 
@@ -389,12 +408,13 @@ class Snapshot:
 
         return keep
 
-    def list_files(self, predicate: Predicate | None = None, stats: str | None = "json", partition_struct: bool = False) -> DataFrame:
+    def list_files(self, predicate: Predicate | str | None = None, stats: str | None = "json", partition_struct: bool = False) -> DataFrame:
         """The files that may hold rows for the predicate: every such file and possibly more.
 
         ``stats``: "json", "struct" (``stats_parsed``), a list of columns, or None.  ``partition_struct`` adds typed ``partitionValues_parsed``.
         """
         self.protocol.check("scan")
+        predicate = _parsed(predicate)
         if predicate is not None and always_false(predicate):
             return self.spark.createDataFrame([], T.StructType(actions.schema("add")["add"].dataType.fields))
         df = self.live_files(self._pruning(predicate))
@@ -406,14 +426,27 @@ class Snapshot:
             df = df.withColumn("stats_parsed", F.from_json("stats", self.stats_schema(only)))
         return df if stats == "json" else df.drop("stats")
 
+    def list_files_from(self, known: DataFrame, base: int, predicate: Predicate | str | None = None) -> DataFrame:
+        """The file list from that of an earlier version: only the commits after ``base`` are read.
+
+        ``known`` must have been listed for a predicate that isn't stricter than this one, which isn't checked.  Where
+        the log no longer has those commits the whole list is made.
+        """
+        after = [c for c in self.log.commits if c.version > base]
+        if base > self.version or [c.version for c in after] != list(range(base + 1, self.version + 1)):
+            return self.list_files(predicate)
+        columns = actions.schema("add")["add"].dataType.names
+        return self._reconciled(read_commits(self.spark, after, "add", "remove"), known.select(*columns), self._pruning(_parsed(predicate)))
+
     # Rows
 
-    def scan(self, columns: list[str] | None = None, predicate: Predicate | None = None, row_id: str | None = None, row_index: str | None = None, file_path: str | None = None) -> DataFrame:
+    def scan(self, columns: list[str] | None = None, predicate: Predicate | str | None = None, row_id: str | None = None, row_index: str | None = None, file_path: str | None = None) -> DataFrame:
         """The table's rows: the columns asked for, and only rows for which the predicate is TRUE.
 
         Files are pruned by partition values and statistics before any is opened; the predicate is then applied to
         rows, where Spark pushes it into the Parquet reader.  ``row_id``, ``row_index`` and ``file_path`` name metadata columns to add.
         """
+        predicate = _parsed(predicate)
         files = self.list_files(predicate).collect()
         return read_files(self, files, columns, predicate, row_id, row_index, file_path)
 

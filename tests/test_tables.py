@@ -20,7 +20,7 @@ from tarn.plans import relational as R
 from tarn.sources.files import FileMeta, Files
 from tarn.sources.log import LogFile, LogSegment, TableError, complete_checkpoints, earliest_versions, parse, segment
 from tarn.streaming.change_stream import stream_changes
-from tarn.table import Table
+from tarn.table import Table, cancellable
 
 
 # Deletion vectors
@@ -361,3 +361,18 @@ def test_put_if_absent(spark, tmp_path):
     assert files.read("a/b.json") == b"1" and [f.name for f in files.list("a")] == ["b.json"]
     with pytest.raises(TableError):
         segment(files)
+
+
+def test_resumed_lists_and_text_predicates(spark, tmp_path):
+    t, df = small(spark, tmp_path)
+    known = t.snapshot(1).list_files()
+    Transaction(t.snapshot()).append(df.where("id < 5")).commit()
+    Transaction(t.snapshot()).remove_files(known.limit(1)).commit()
+    s = t.snapshot()
+    paths = lambda f: sorted(r.path for r in f.select("path").collect())
+    assert paths(s.list_files_from(known, 1)) == paths(s.list_files())
+    assert paths(s.list_files_from(known, 1, "id >= 30")) == paths(s.list_files(col("id") >= 30))
+    assert s.scan(predicate="id BETWEEN 1 AND 3").count() == s.scan().where("id between 1 and 3").count()
+    with cancellable(spark, "g") as cancel:
+        assert spark.range(5).count() == 5
+        cancel()
