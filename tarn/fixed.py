@@ -32,6 +32,7 @@ CURRENT_DEFAULT = "CURRENT_DEFAULT"
 INVARIANTS = "delta.invariants"
 
 # Table properties.
+FEATURE_PREFIX = "delta.feature."
 P_APPEND_ONLY = "delta.appendOnly"
 P_CDF = "delta.enableChangeDataFeed"
 P_DV = "delta.enableDeletionVectors"

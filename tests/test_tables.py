@@ -60,7 +60,7 @@ def test_run_containers():
 
 
 def meta(name, size=1):
-    return FileMeta(f"file:/t/_delta_log/{name}", 0, size)
+    return FileMeta(f"file:/t/{fixed.LOG_DIR}/{name}", 0, size)
 
 
 def test_names():
@@ -98,7 +98,7 @@ def test_gaps_and_hints(spark, tmp_path):
     t, df = small(spark, tmp_path)
     for _ in range(3):
         Transaction(t.snapshot()).append(df.limit(1)).commit()
-    log = tmp_path / "t" / "_delta_log"
+    log = tmp_path / "t" / fixed.LOG_DIR
     assert t.snapshot().version == 4 and t.snapshot(2).scan().count() == 41
     with pytest.raises(TableError):
         t.snapshot(9)
@@ -125,7 +125,7 @@ def test_compacted_and_staged_commits(spark, tmp_path):
     t, df = small(spark, tmp_path)
     Transaction(t.snapshot()).append(df.limit(2)).commit()
     Transaction(t.snapshot()).remove_files(t.snapshot(1).list_files()).commit()
-    log = tmp_path / "t" / "_delta_log"
+    log = tmp_path / "t" / fixed.LOG_DIR
     whole = sorted(map(tuple, t.snapshot().scan().collect()))
     lines = [x for v in (1, 2) for x in (log / f"{v:020d}.json").read_text().splitlines()]
     (log / f"{1:020d}.{2:020d}.compacted.json").write_text("\n".join(lines) + "\n")
@@ -135,7 +135,7 @@ def test_compacted_and_staged_commits(spark, tmp_path):
     staged.mkdir()
     os.rename(log / f"{3:020d}.json", staged / f"{3:020d}.{'0' * 8}-0000-0000-0000-{'0' * 12}.json")
     assert t.snapshot().version == 2
-    tail = [parse(f) for f in t.files.list("_delta_log/_staged_commits")]
+    tail = [parse(f) for f in t.files.list(f"{fixed.LOG_DIR}/{fixed.STAGED_DIR}")]
     assert sorted(map(tuple, t.snapshot(log_tail=tail).scan().collect())) == whole
     with pytest.raises(TableError):
         t.snapshot(3, log_tail=tail, max_version=2)
@@ -235,7 +235,7 @@ def test_conflicts_and_rules(spark, tmp_path):
     with pytest.raises(TableError):
         tx.set_app("x", 2)
     with pytest.raises(TableError):
-        tx.set_domain("delta.x", "{}")
+        tx.set_domain(fixed.SYSTEM_DOMAIN_PREFIX + "x", "{}")
     with pytest.raises(TableError):
         create_table(spark, t.root, T.StructType.fromDDL("id int"))
     with pytest.raises(TableError):
@@ -245,7 +245,7 @@ def test_conflicts_and_rules(spark, tmp_path):
 def test_features_fail_closed(spark, tmp_path):
     t, _ = small(spark, tmp_path)
     lines = [json.dumps({"protocol": {"minReaderVersion": 3, "minWriterVersion": 7, "readerFeatures": ["timeMachine"], "writerFeatures": ["timeMachine"]}})]
-    (tmp_path / "t" / "_delta_log" / f"{2:020d}.json").write_text("\n".join(lines) + "\n")
+    (tmp_path / "t" / fixed.LOG_DIR / f"{2:020d}.json").write_text("\n".join(lines) + "\n")
     with pytest.raises(TableError):
         t.snapshot().scan()
     with pytest.raises(TableError):
@@ -253,7 +253,7 @@ def test_features_fail_closed(spark, tmp_path):
 
 
 def test_domains_checkpoints_and_expiry(spark, tmp_path):
-    t, df = small(spark, tmp_path, cluster_by=["id"], properties={"delta.feature.v2Checkpoint": "supported", fixed.P_STATS_STRUCT: "true", fixed.P_STATS_JSON: "false"})
+    t, df = small(spark, tmp_path, cluster_by=["id"], properties={fixed.FEATURE_PREFIX + "v2Checkpoint": "supported", fixed.P_STATS_STRUCT: "true", fixed.P_STATS_JSON: "false"})
     assert json.loads(t.snapshot().domain(fixed.CLUSTERING_DOMAIN, internal=True)) == {"clusteringColumns": [["id"]]}
     Transaction(t.snapshot()).set_domain("mine", "one").commit()
     Transaction(t.snapshot()).set_domain("mine", "two").set_domain("other", "x").commit()
@@ -269,7 +269,7 @@ def test_domains_checkpoints_and_expiry(spark, tmp_path):
     s = t.snapshot()
     assert checkpoint_shape(s) == {"kind": "manifest", "parsed_stats": True} and s.domain("mine") == "two"
     assert sorted(map(tuple, s.scan().collect())) == before
-    hint = json.loads((tmp_path / "t" / "_delta_log" / "_last_checkpoint").read_text())
+    hint = json.loads((tmp_path / "t" / fixed.LOG_DIR / "_last_checkpoint").read_text())
     assert hint["version"] == s.version and hint["numOfAddFiles"] == 1
 
 
@@ -278,7 +278,7 @@ def test_checksum_serves_protocol_and_falls_back(spark, tmp_path):
     assert write_checksum(t.snapshot()) and not write_checksum(t.snapshot())
     s = t.snapshot()
     assert s.log.crc and s.schema.names == ["id", "name", "part"] and s.file_stats()["numFiles"] == 2
-    (tmp_path / "t" / "_delta_log" / f"{1:020d}.crc").write_text("junk")
+    (tmp_path / "t" / fixed.LOG_DIR / f"{1:020d}.crc").write_text("junk")
     assert t.snapshot().schema.names == ["id", "name", "part"] and t.snapshot().file_stats()["numFiles"] == 2
     assert bin_of(0) == 0 and bin_of(8191) == 0 and bin_of(8192) == 1 and bin_of(2**50) == len(HISTOGRAM) - 1 == 94
 
