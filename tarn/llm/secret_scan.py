@@ -21,9 +21,15 @@ password secret token admin root guest default local host server client data fil
 release version update install download image style script module package class function method object return
 service system process thread session cookie account email message event error warning debug info null none true false
 letter number order color width height left right center middle top bottom first last next previous""".split()
-#: Candidates: runs of the characters that credentials are made of, with a digit, or what is assigned to a key word.
-RUN = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
-ASSIGNED = r"(?i)\b(?:" + "|".join(KEY_WORDS) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"']{6,}+"
+#: Candidates: runs of the characters that credentials are made of, with a digit, what is assigned to a name that ends in a
+#: key word, what begins as known credentials do, and passwords in addresses.
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}+"
+PREFIXED = (
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{12,}+|(?:gh[os]_|ghp_|github_pat_|sk_live_|rk_live_|xox[abp]-|AIza|glpat-|npm_)[A-Za-z0-9_-]{10,}+"
+    r"|SG\.[A-Za-z0-9_-]{3,}+\.[A-Za-z0-9_-]{3,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{3,}+\.[A-Za-z0-9_-]*+)"
+)
+ADDRESS = r"://[^\s/:@\"']*+:[^\s/@\"']{3,}+(?=@)"
+ASSIGNED = r"(?i)(?:" + "|".join(KEY_WORDS) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"']{6,}+"
 CONTEXT = 48
 FEATURES = "length digits uppers lowers marks changes repeats distinct covered key_near harmless_near assigned quoted hex_only digits_only test_path known_prefix".split()
 TEST_PATH = r"(?i)(^|[/_.-])(test|tests|spec|example|examples|sample|samples|doc|docs|fixture|fixtures|mock)([/_.-]|$)"
@@ -37,7 +43,7 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     document's candidates are counted from 0 in ``nth``; ``start`` is the character at which the value begins.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    pattern = f"(?:{ASSIGNED})|(?:{RUN})"
+    pattern = f"(?:{ASSIGNED})|(?:{PREFIXED})|(?:{ADDRESS})|(?:{RUN})"
     rows = docs.select(F.col(id_col).alias("_id"), (F.col(path_col) if path_col else F.lit(None)).cast("string").alias("_path"), text.alias("_text"))
     rows = rows.where(F.col("_text").rlike(pattern))
     rows = rows.withColumn("_all", F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
@@ -53,9 +59,9 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         lambda s: s["starts"],
     )
     each = rows.withColumn("_starts", ends).select("_id", "_path", "_text", F.posexplode(F.arrays_zip(F.col("_all"), F.col("_starts"))).alias("nth", "_c"))
-    value = F.regexp_replace(F.col("_c")["_all"], r"(?i)^(?:" + "|".join(KEY_WORDS) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?", "")
+    value = F.regexp_replace(F.col("_c")["_all"], r"(?i)^(?:(?:" + "|".join(KEY_WORDS) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?|://[^:]*+:)", "")
+    skip = F.char_length(F.col("_c")["_all"]) - F.char_length(value)
     value = F.regexp_replace(value, r"[,;.)\]}>]+$", "")
-    skip = F.instr(F.col("_c")["_all"], value) - 1
     return (
         each.withColumn("value", value)
         .withColumn("start", F.col("_c")["_starts"] + skip)
