@@ -110,6 +110,11 @@ def markup_language(html: Column) -> Column:
     return F.when(found != "", found)
 
 
+def markup_text(html: Column) -> Column:
+    """The text of a page: without scripts, styles, comments, tags and character references."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*+>|&#?[a-z0-9]{1,32};", " ")
+
+
 def address_host(url: Column) -> Column:
     found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
     return F.when(found != "", found)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tarn.llm.bpe import encode_decode
 from tarn.llm.exact_dedup import exact_dedup
 from tarn.llm.exact_topk import exact_topk
-from tarn.llm.language_id import identify_languages, train_text_model
+from tarn.llm.language_id import address_host, address_suffix, identify_languages, markup_language, markup_text, train_text_model
 from tarn.llm.line_dedup import line_dedup
 from tarn.llm.mixing import mix_sources
 from tarn.llm.oracles import ORACLE
@@ -62,9 +62,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
+    model, found = train_text_model(docs), ("lang", "probability", "kept")
     # Documents have no address or markup: their source stands for the host.
-    found = identify_languages(docs, train_text_model(docs), "doc_id", F.col("text"), host=F.col("source"))
-    return found.select("doc_id", "lang", "probability", "kept")
+    of_docs = identify_languages(docs, model, "doc_id", F.col("text"), host=F.col("source"))
+    host, html = address_host(F.col("url")), F.col("html")
+    of_pages = identify_languages(_table(spark, sf_dir, "pages"), model, "page_id", markup_text(html), host, address_suffix(host), markup_language(html))
+    none = F.lit(None).cast("long")
+    of_docs = of_docs.select(F.lit("documents").alias("table"), "doc_id", none.alias("page_id"), *found)
+    return of_docs.unionByName(of_pages.select(F.lit("pages").alias("table"), none.alias("doc_id"), "page_id", *found))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,16 @@ def test_edges(spark):
     assert identify_languages(empty, model, "doc_id", F.col("text"), F.col("source")).collect() == []
     odd = spark.createDataFrame([(1, None, None, None, 1, "a", "b"), (1, None, None, None, 1, "a", "b"), (None, "x" * 3_000_000, "en", "s", 1, "a", "b")], schema)
     assert identify_languages(odd, train_text_model(odd), "doc_id", F.col("text"), F.col("source"), keep=("ll",)).count() == 3
+
+
+def test_query_covers_pages(spark, tmp_path):
+    from tarn.llm.queries import op7_language_id
+
+    spark.createDataFrame(made(60), "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    body = lambda lang: f'<html lang="{lang}"><script>the of and</script><p>{" ".join(WORDS[lang] * 3)}</p></html>'
+    pages = [(i, f"http://a.example.{lang}/", body(lang)) for i, lang in enumerate(WORDS)] + [(9, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = op7_language_id(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got if r.table == "documents") == list(range(60))
+    found = {r.page_id: r.lang for r in got if r.table == "pages"}
+    assert set(found) == {0, 1, 2, 9} and [found[i] for i in range(3)] == list(WORDS)
