@@ -15,6 +15,8 @@ from tarn.llm._shared import durable
 #: The language of text that fits none: its trigrams are spread evenly.
 OTHER = "und"
 BUCKETS = 1 << 16
+#: Numbers in a table at most: with more languages than fit, each has fewer buckets.
+CELLS = 1 << 25
 BLOCK = 1 << 20
 #: Neighbouring trigrams share letters, so their evidence counts for less than that of independent ones, and no text counts
 #: as more than this many of them: what else is known about a document is never drowned.
@@ -48,36 +50,39 @@ class TextModel:
         """Log-likelihoods of the whole text, scaled for dependence and bounded."""
         total, n = np.zeros(len(self.languages)), 0
         for codes in _trigrams(text):
-            total += self.table[codes].sum(0, dtype=np.float64)
+            total += self.table[codes % np.uint32(len(self.table))].sum(0, dtype=np.float64)
             n += len(codes)
         return total * (min(SHARE * n, MOST) / n) if n else total
 
 
 def train_text_model(
-    docs: DataFrame, sample: int = 400, max_languages: int = 64, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, sample: int = 400, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> TextModel:
-    """Train on a bounded sample of labelled rows: about ``sample`` documents of each of the ``max_languages`` most frequent labels.
+    """Train on a bounded sample of labelled rows: about ``sample`` documents of each label.
 
     Rows are chosen by hashes of their ids against a share computed from each label's count, in one scan.
-    NULL labels and NULL texts train nothing.  Without any labelled text ``OTHER`` is the only language.
+    All labels are learnt; the table is bounded by
+    its buckets, which are halved until it fits ``CELLS``.  NULL labels and NULL texts train nothing.  Without any labelled text ``OTHER`` is the only language.
     """
     some = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = some.groupBy(lang_col).count().orderBy(F.col("count").desc(), lang_col).limit(max_languages).collect()
+    counts = some.groupBy(lang_col).count().collect()
     names = tuple(sorted(r[0] for r in counts))
-    model = np.full((len(names), BUCKETS), smoothing)
+    buckets = BUCKETS
+    while buckets > 256 and (len(names) + 1) * buckets > CELLS:
+        buckets //= 2
+    model = np.full((len(names), buckets), smoothing)
     if names:
-        share = F.lit(0.0)
-        for r in counts:
-            share = F.when(F.col(lang_col) == r[0], F.lit(min(1.0, sample / r[1]))).otherwise(share)
+        at = {x: i for i, x in enumerate(names)}
+        share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, sample / r[1]))]), F.col(lang_col))
         spot = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
         chosen = some.where(spot < share).select(lang_col, text_col).limit(4 * sample * len(names))
         for r in chosen.toLocalIterator():
-            row = model[names.index(r[0])]
+            row = model[at[r[0]]]
             for codes in _trigrams(r[1]):
-                row += np.bincount(codes, minlength=BUCKETS)
-    table = np.log(model / model.sum(1, keepdims=True)) if names else np.zeros((0, BUCKETS))
+                row += np.bincount(codes % np.uint32(buckets), minlength=buckets)
+    table = np.log(model / model.sum(1, keepdims=True)) if names else np.zeros((0, buckets))
     # Text that fits a language gains several nats a trigram over an even spread of the 40,000 that occur or so.
-    even = np.full((1, BUCKETS), -np.log(float(BUCKETS)))
+    even = np.full((1, buckets), -np.log(float(buckets)))
     return TextModel((*names, OTHER), np.ascontiguousarray(np.concatenate([table, even]).T, dtype=np.float32))
 
 

@@ -99,3 +99,13 @@ def test_query_covers_pages(spark, tmp_path):
     assert sorted(r.doc_id for r in got if r.table == "documents") == list(range(60))
     found = {r.page_id: r.lang for r in got if r.table == "pages"}
     assert set(found) == {0, 1, 2, 9} and [found[i] for i in range(3)] == list(WORDS)
+
+
+def test_all_labels_are_learnt(spark, monkeypatch):
+    rows = [(i, f"w{chr(97 + i % 9)}{chr(97 + i // 9)} text", f"l{i:03}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train_text_model(df)
+    assert model.languages == (*sorted(r[2] for r in rows), OTHER) and model.table.shape == (1 << 16, 81)
+    monkeypatch.setattr("tarn.llm.language_id.CELLS", 81 << 12)
+    small = train_text_model(df)
+    assert small.table.shape == (1 << 12, 81) and small.likelihoods("waa text").argmax() == 0
