@@ -123,7 +123,8 @@ def fit_quality(
     chosen = picks[0] if len(picks) == 1 else picks[0].unionByName(picks[1])
     rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_id", "_label", F.col(text_col).alias("_text"), place.alias("_place"))
     size = F.octet_length(F.coalesce("_text", F.lit("")))
-    rows = rows.where(size <= sample_bytes // 8)  # one text is an eighth of the bound at most.dropDuplicates(["_id"])
+    rows = rows.where(size <= sample_bytes // 8)  # one text is an eighth of the bound at most
+    rows = rows.groupBy("_id", "_label", "_place").agg(F.min("_text").alias("_text"))  # one row for each id
     first, second, used = {0: [], 1: []}, {0: [], 1: []}, {0: 0, 1: 0}
     for r in sorted(rows.toLocalIterator(), key=lambda r: (r._place, r._id)):
         n = len((r._text or "").encode("utf-8", "surrogatepass"))

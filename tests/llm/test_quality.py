@@ -67,3 +67,11 @@ def test_whole_texts_count():
 def test_fold_is_crc32_of_the_decimal_id(spark):
     got = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
+
+
+def test_repeated_ids_count_once(spark):
+    rows = [(i, f"{'good clean words' if i % 2 else 'bad spam spam'} {i * 7919} " * 5) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    more = spark.createDataFrame(rows + rows[:20] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    assert fit_quality(more, labels) == fit_quality(docs, labels)
