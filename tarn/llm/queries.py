@@ -57,7 +57,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(_table(spark, sf_dir, "documents"), max_edits=2, least_chars=9, edit_share=0.1, exact_chars=1).drop("_row")
+    return line_dedup(_table(spark, sf_dir, "documents"), max_edits=2, least_chars=9, word_share=0.1, exact_chars=1).drop("_row")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
