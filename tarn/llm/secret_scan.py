@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,6 +12,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm._shared import durable
+
 # Words that stand beside credentials, and words that stand beside harmless strings of the same look.
 KEY_WORDS = "password passwd pwd secret token api_key apikey access_key auth bearer credential private_key client_secret".split()
 HARMLESS_WORDS = "commit sha sha1 sha256 md5 checksum digest hash revision uuid guid etag integrity build version page order phone card isbn".split()
@@ -31,45 +34,71 @@ PREFIXED = (
 ADDRESS = r"://[^\s/:@\"']*+:[^\s/@\"']{3,}+(?=@)"
 ASSIGNED = r"(?i)(?:" + "|".join(KEY_WORDS) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"']{6,}+"
 CONTEXT = 48
+#: No candidate has fewer characters.
+SHORTEST = 6
 FEATURES = "length digits uppers lowers marks changes repeats distinct covered key_near harmless_near assigned quoted hex_only digits_only test_path known_prefix".split()
 TEST_PATH = r"(?i)(^|[/_.-])(test|tests|spec|example|examples|sample|samples|doc|docs|fixture|fixtures|mock)([/_.-]|$)"
 KNOWN_PREFIX = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk_live_|rk_live_|xox[abp]-|AIza|glpat-|npm_|SG\.)"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums_before(sizes: Column, block: int = 256) -> Column:
+    """For each element of an array of ints the sum of those before it; blocks keep the copying linear."""
+    blocks = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int"))
+    begun = lambda x, first: F.aggregate(x, F.array(first), lambda s, n: F.concat(s, F.array((F.element_at(s, -1) + n).cast("int"))))
+    totals = F.transform(blocks, lambda b: F.aggregate(F.slice(sizes, b * block + 1, F.lit(block)), F.lit(0), lambda t, n: (t + n).cast("int")))
+    inside = lambda starts: F.flatten(F.transform(blocks, lambda b: F.slice(begun(F.slice(sizes, b * block + 1, F.lit(block)), F.get(starts, b)), 1, F.size(F.slice(sizes, b * block + 1, F.lit(block))))))
+    return _let(begun(totals, F.lit(0).cast("int")), inside)
+
+
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """All candidates with their neighbourhood: (id, path, nth, start, value, before, after).
+    """All candidates with their neighbourhood: (id, path, nth, start, value, before, after, text_hash).
 
     Whole texts are searched.  Documents that no pattern matches are left out before anything is cut, and each
-    document's candidates are counted from 0 in ``nth``; ``start`` is the character at which the value begins.
+    document's candidates are counted from 0 in ``nth``; ``start`` is the character at which the value begins.  Work is
+    in proportion to the text and its candidates, and no text is copied for a candidate: neighbours are put together
+    from the ends of the pieces into which the candidates cut the text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     pattern = f"(?:{ASSIGNED})|(?:{PREFIXED})|(?:{ADDRESS})|(?:{RUN})"
-    rows = docs.select(F.col(id_col).alias("_id"), (F.col(path_col) if path_col else F.lit(None)).cast("string").alias("_path"), text.alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), (F.col(path_col) if path_col else F.lit(None)).cast("string").alias("_path"), F.xxhash64(text_col).alias("_hash"), text.alias("_text"))
     rows = rows.where(F.col("_text").rlike(pattern))
-    rows = rows.withColumn("_all", F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
-    # What lies between candidates is what splitting at them leaves; running lengths give their places.
-    rows = rows.withColumn("_gaps", F.split("_text", pattern, -1))
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.size("_all")),
-        F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda s, i: F.struct(
-            (s["at"] + F.char_length(F.get("_gaps", i - 1)) + F.char_length(F.get("_all", i - 1))).cast("int").alias("at"),
-            F.concat(s["starts"], F.array((s["at"] + F.char_length(F.get("_gaps", i - 1))).cast("int"))).alias("starts"),
-        ),
-        lambda s: s["starts"],
-    )
-    each = rows.withColumn("_starts", ends).select("_id", "_path", "_text", F.posexplode(F.arrays_zip(F.col("_all"), F.col("_starts"))).alias("nth", "_c"))
-    value = F.regexp_replace(F.col("_c")["_all"], r"(?i)^(?:(?:" + "|".join(KEY_WORDS) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?|://[^:]*+:)", "")
-    skip = F.char_length(F.col("_c")["_all"]) - F.char_length(value)
-    value = F.regexp_replace(value, r"[,;.)\]}>]+$", "")
-    return (
-        each.withColumn("value", value)
-        .withColumn("start", F.col("_c")["_starts"] + skip)
-        .select(
-            F.col("_id").alias(id_col), F.col("_path").alias("path"), "nth", "start", "value",
-            F.substring("_text", F.greatest(F.col("start") - CONTEXT + 1, F.lit(1)), F.least(F.col("start"), F.lit(CONTEXT))).alias("before"),
-            F.substring("_text", F.col("start") + F.char_length("value") + 1, F.lit(CONTEXT)).alias("after"),
-        )
+    near = -(-CONTEXT // SHORTEST)  # so many candidates reach over the context, whatever lies between them
+
+    def each(x: Column) -> Column:
+        # Piece i is what lies before candidate i, with that candidate; the last piece is what lies behind all.
+        piece = lambda i: F.concat(F.get(x["gaps"], i), F.coalesce(F.get(x["all"], i), F.lit("")))
+        of_pieces = F.sequence(F.lit(0), F.size(x["all"]))
+        ends = F.struct(
+            F.transform(of_pieces, lambda i: F.substring(piece(i), -CONTEXT, CONTEXT)).alias("tails"), F.transform(of_pieces, lambda i: F.substring(piece(i), 1, CONTEXT)).alias("heads"),
+            _sums_before(F.transform(of_pieces, lambda i: F.char_length(piece(i)))).alias("starts"), x["gaps"].alias("gaps"), x["all"].alias("all"),
+        )
+        return _let(ends, candidates)
+
+    def candidates(x: Column) -> Column:
+        def one(found: Column, i: Column) -> Column:
+            low = F.greatest(i - near, F.lit(0))
+            before = F.concat(F.array_join(F.slice(x["tails"], low + 1, i - low), ""), F.substring(F.get(x["gaps"], i), -CONTEXT, CONTEXT))
+            after = F.array_join(F.slice(x["heads"], i + 2, F.lit(near)), "")
+            at = F.get(x["starts"], i) + F.char_length(F.get(x["gaps"], i))
+            return F.struct(found.alias("all"), at.cast("int").alias("at"), F.substring(before, -CONTEXT, CONTEXT).alias("before"), F.substring(after, 1, CONTEXT).alias("after"))
+
+        return F.transform(x["all"], one)
+
+    cut = F.struct(F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)).alias("all"), F.split("_text", pattern, -1).alias("gaps"))
+    found = rows.select("_id", "_path", "_hash", F.posexplode(_let(cut, each)).alias("nth", "_c")).select("_id", "_path", "_hash", "nth", "_c.*")
+    # What a match says before the value, the value, and what closes the sentence behind it.
+    lead = F.regexp_extract("all", r"(?i)^(?:(?:" + "|".join(KEY_WORDS) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?|://[^:]*+:)", 0)
+    found = found.withColumn("_lead", lead).withColumn("_rest", F.expr("substring(all, char_length(_lead) + 1)"))
+    found = found.withColumn("value", F.regexp_replace("_rest", r"[,;.)\]}>]+$", ""))
+    return found.select(
+        F.col("_id").alias(id_col), F.col("_path").alias("path"), "nth", (F.col("at") + F.char_length("_lead")).alias("start"), "value",
+        F.substring(F.concat("before", "_lead"), -CONTEXT, CONTEXT).alias("before"),
+        F.substring(F.concat(F.expr("substring(_rest, char_length(value) + 1)"), "after"), 1, CONTEXT).alias("after"), F.col("_hash").alias("text_hash"),
     )
 
 
@@ -188,9 +217,8 @@ def forest_score(model: PipelineModel) -> Column:
         add(root)
         trees.append(nodes)
     forest = F.from_json(F.lit(json.dumps(trees)), "array<array<struct<f:int,t:double,l:int,r:int,v:double>>>")
-    x = F.array(*[F.col(c) for c in FEATURES])
 
-    def walk(tree: Column) -> Column:
+    def walk(tree: Column, x: Column) -> Column:
         def step(node: Column, _: Column) -> Column:
             at = F.get(tree, node)
             return F.when(F.get(x, F.greatest(at["f"], F.lit(0))) <= at["t"], at["l"]).otherwise(at["r"])
@@ -198,7 +226,8 @@ def forest_score(model: PipelineModel) -> Column:
         last = F.aggregate(F.sequence(F.lit(1), F.lit(max(deepest, 1))), F.lit(0), step)
         return F.get(tree, last)["v"]
 
-    return F.aggregate(forest, F.lit(0.0), lambda s, tree: s + walk(tree)) / len(trees)
+    features = F.array(*[F.col(c) for c in FEATURES])
+    return _let(features, lambda x: F.aggregate(forest, F.lit(0.0), lambda s, tree: s + walk(tree, x))) / len(trees)
 
 
 def scan_secrets(
@@ -209,21 +238,24 @@ def scan_secrets(
     Candidates come from patterns; a random forest trained on ``labelled`` findings (``labelled_findings`` by default)
     scores length, character make-up and transitions, dictionary coverage, path and neighbouring words.
 
-    Returns one row for each candidate: id, nth, start, length, value, score, secret (score >= ``threshold``).
+    Returns one row for each candidate: id, nth, start, length, value, score, secret (score >= ``threshold``), text_hash.
     NULL and empty texts have no candidates; a NULL path is no test path; a NULL id stays NULL.  Texts of any length
     are searched whole, and so are values of any length.  Repeated rows and repeated
     values are findings each.  Empty tables give an empty table; other columns are ignored.
     """
     model = train_forest(labelled if labelled is not None else labelled_findings(docs.sparkSession))
-    scored = with_features(findings(docs, id_col, text_col, path_col)).withColumn("_score", forest_score(model))
+    # Candidates and features are written, few as they are: patterns, features and forest are then three short plans, each
+    # of which compiles, and none is computed again for every step in a tree.
+    found = durable(findings(docs, id_col, text_col, path_col), "secrets")
+    scored = durable(with_features(found), "secrets").withColumn("_score", forest_score(model))
     return scored.select(
-        id_col, "nth", "start", F.char_length("value").alias("length"), "value", F.col("_score").alias("score"), (F.col("_score") >= threshold).alias("secret")
+        id_col, "nth", "start", F.char_length("value").alias("length"), "value", F.col("_score").alias("score"), (F.col("_score") >= threshold).alias("secret"), "text_hash"
     )
 
 
 def redacted(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every secret value of ``found`` replaced by ``mark`` in its document."""
-    values = found.where("secret").groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_set("value"), asc=False).alias("_values"))
-    joined = docs.join(values, docs[id_col] == values["_id"], "left")
-    clean = F.aggregate(F.coalesce("_values", F.array().cast("array<string>")), F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
-    return joined.withColumn(text_col, clean).drop("_id", "_values")
+    """``docs`` with every secret value of ``found`` replaced by ``mark`` in its document, which id and text's hash name: a NULL id is an id."""
+    values = found.where("secret").groupBy(F.col(id_col).alias("_s_id"), F.col("text_hash").alias("_s_hash")).agg(F.sort_array(F.collect_set("value"), asc=False).alias("_s_values"))
+    joined = docs.join(values, docs[id_col].eqNullSafe(values["_s_id"]) & (F.xxhash64(docs[text_col]) == values["_s_hash"]), "left")
+    clean = F.aggregate(F.coalesce("_s_values", F.array().cast("array<string>")), docs[text_col], lambda t, v: F.replace(t, v, F.lit(mark)))
+    return joined.withColumn(text_col, clean).drop("_s_id", "_s_hash", "_s_values")
