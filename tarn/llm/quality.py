@@ -12,33 +12,36 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PIECE = 2048  # bytes of text that are compressed at once, so that a long text can't teach the compressor itself
-DICTIONARY = 112 << 10
-LEVEL = 3
+#: Bytes of text that are compressed at once: few, so that a text can't teach the compressor itself and the dictionary
+#: alone tells how small it gets.
+PIECE = 256
+DICTIONARY = 448 << 10
+LEVEL = 15
 
 
 def held_out(id_column: Column, folds: int = 4, fold: int = 2) -> Column:
-    """Whether crc32 of the id, as text, leaves ``fold`` on division by ``folds``.  A NULL id is held out."""
+    """Whether crc32 of the id, as text, leaves ``fold`` on division by ``folds``.  A NULL id has no remainder; it is held
+    out, since no label can be told to belong to it."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % folds == fold, F.lit(True))
 
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Two dictionaries and the logistic calibration: weights of the standardised measures and an offset."""
+    """Two dictionaries and the logistic calibration of the difference: its centre, weight and an offset."""
 
     good: bytes
     bad: bytes
-    centre: tuple[float, ...] = (0.0, 0.0, 0.0)
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
+    centre: float = 0.0
+    weight: float = 0.0
     offset: float = 0.0
 
     def scorer(self) -> DifferenceScorer:
         return DifferenceScorer(self.good, self.bad)
 
     def probability(self, measures: np.ndarray) -> np.ndarray:
-        """Scores of rows of measures; a row of NaN (an empty text) is undecided and takes the centre."""
-        x = np.where(np.isnan(measures), 0.0, measures - np.asarray(self.centre))
-        return 1 / (1 + np.exp(-np.clip(x @ np.asarray(self.weights) + self.offset, -30, 30)))
+        """Scores of differences; NaN (an empty text) is undecided and takes the centre."""
+        x = np.where(np.isnan(measures), 0.0, measures - self.centre)
+        return 1 / (1 + np.exp(-np.clip(x * self.weight + self.offset, -30, 30)))
 
 
 class DifferenceScorer:
@@ -54,21 +57,16 @@ class DifferenceScorer:
 
         self.good, self.bad = compressor(good), compressor(bad)
 
-    def measures(self, text: str | None) -> tuple[float, float, float]:
-        """Over the whole text, in units of its bytes: the size with the bad dictionary less that with the good one,
-        the size with the good one, and its square.
-
-        The difference tells good text from bad; the size tells how much of the difference to expect, since text that
-        repeats itself is small with any dictionary.  NaN for an empty text.
-        """
+    def measures(self, text: str | None) -> float:
+        """The normalised difference over the whole text: the compressed size with the bad dictionary less that with the
+        good one, by the text's bytes.  NaN for an empty text."""
         data = (text or "").encode("utf-8", "surrogatepass")
         good = bad = 0
         for at in range(0, len(data), PIECE):
             piece = data[at : at + PIECE]
             good += len(self.good.compress(piece))
             bad += len(self.bad.compress(piece))
-        n = len(data)
-        return ((bad - good) / n, good / n, (good / n) ** 2) if n else (math.nan, math.nan, math.nan)
+        return (bad - good) / len(data) if data else math.nan
 
 
 def build_dictionary(texts: Sequence[str], size: int = DICTIONARY) -> bytes:
@@ -89,17 +87,17 @@ def build_dictionary(texts: Sequence[str], size: int = DICTIONARY) -> bytes:
     return b"".join(parts)[-size:]
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression by Newton's method: centre and weights of the columns of ``x``, and the offset."""
-    centre, spread = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
-    z, w = np.c_[(x - centre) / spread, np.ones(len(x))], np.zeros(x.shape[1] + 1)
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
+    """Logistic regression on one measure by Newton's method: its centre and weight, and the offset."""
+    centre, spread = x.mean(), x.std() or 1.0
+    z, w = np.c_[(x - centre) / spread, np.ones(len(x))], np.zeros(2)
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2), z.T @ (y - p) - ridge * w)
         w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
-    return centre, w[:-1] / spread, float(w[-1])
+    return float(centre), float(w[0] / spread), float(w[1])
 
 
 def fit_quality(
@@ -108,7 +106,7 @@ def fit_quality(
     """Fit on a bounded sample of labelled rows that aren't held out.
 
     ``sample`` rows of each label at most, those with the least hashes of their ids, and ``sample_bytes`` of text of each
-    label at most reach the driver.  Half of each label's rows make its dictionary; the other half calibrate.
+    label at most reach the driver; a text of more than an eighth of that isn't fitted on.  Half of each label's rows make its dictionary; the other half calibrate.
     The offset is moved to the labels' shares among all labelled rows, so scores follow the true mix.
     Labels other than 0 and 1, NULL labels, NULL ids and labelled rows without a document are left out.  With no
     usable rows of either label, every score is one half (or the share of the only label there is, by the prior).
@@ -136,15 +134,15 @@ def fit_quality(
         prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
         return QualityModel(b"", b"", offset=math.log(prior / (1 - prior)))
     measure = DifferenceScorer(good, bad)
-    x = np.array([measure.measures(t) for y in (0, 1) for t in second[y]], float).reshape(-1, 3)
+    x = np.array([measure.measures(t) for y in (0, 1) for t in second[y]], float)
     y = np.array([label for label in (0, 1) for _ in second[label]], float)
-    x, y = x[~np.isnan(x[:, 0])], y[~np.isnan(x[:, 0])]
+    x, y = x[~np.isnan(x)], y[~np.isnan(x)]
     if not 0 < y.sum() < len(y):
         prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
         return QualityModel(good, bad, offset=math.log(prior / (1 - prior)))
-    centre, weights, offset = calibrate(x, y)
+    centre, weight, offset = calibrate(x, y)
     share = math.log((totals[1] / totals[0]) / (y.sum() / (len(y) - y.sum())))
-    return QualityModel(good, bad, tuple(map(float, centre)), tuple(map(float, weights)), offset + share)
+    return QualityModel(good, bad, centre, weight, offset + share)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +157,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
         m = sent.value
         scorer = m.scorer()
         for b in batches:
-            x = np.array([scorer.measures(t.as_py()) for t in b.column(1)], float).reshape(-1, 3)
+            x = np.array([scorer.measures(t.as_py()) for t in b.column(1)], float)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.probability(x))], names=[id_col, "score"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"`{id_col}` long, score double")
