@@ -18,10 +18,8 @@ BUCKETS = 1 << 16
 #: Numbers in a table at most: with more languages than fit, each has fewer buckets.
 CELLS = 1 << 25
 BLOCK = 1 << 20
-#: Neighbouring trigrams share letters, so their evidence counts for less than that of independent ones, and no text counts
-#: as more than this many of them: what else is known about a document is never drowned.
+#: What ``TextModel`` takes for ``share`` and ``most`` unless told otherwise.
 SHARE, MOST = 0.3, 400.0
-
 # All letters of ASCII lower case and all bytes of longer characters stay; everything else becomes a space.
 _KEEP = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -41,10 +39,17 @@ def _trigrams(text: str | None) -> Iterator[np.ndarray]:
 
 @dataclass(frozen=True)
 class TextModel:
-    """log P(trigram | language), one row for each language; the last language is ``OTHER``."""
+    """log P(trigram | language), one row for each language; the last language is ``OTHER``.
+
+    Neighbouring trigrams share letters, so each counts as ``share`` of an independent one, and no text counts as more
+    than ``most`` independent ones: every trigram of a long text has its part in the mean, and what else is known about
+    the document is never drowned.
+    """
 
     languages: tuple[str, ...]
     table: np.ndarray
+    share: float = SHARE
+    most: float = MOST
 
     def likelihoods(self, text: str | None) -> np.ndarray:
         """Log-likelihoods of the whole text, scaled for dependence and bounded."""
@@ -52,15 +57,16 @@ class TextModel:
         for codes in _trigrams(text):
             total += self.table[codes % np.uint32(len(self.table))].sum(0, dtype=np.float64)
             n += len(codes)
-        return total * (min(SHARE * n, MOST) / n) if n else total
+        return total * (min(self.share * n, self.most) / n) if n else total
 
 
 def train_text_model(
-    docs: DataFrame, sample: int = 400, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, sample: int = 400, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", share: float = SHARE, most: float = MOST
 ) -> TextModel:
     """Train on a bounded sample of labelled rows: about ``sample`` documents of each label.
 
-    Rows are chosen by hashes of their ids against a share computed from each label's count, in one scan.
+    Rows are chosen by hashes of id and text against a share computed from each label's count, in one scan, four times
+    ``sample`` for each label at most, the least hashes first.  ``share`` and ``most`` are the model's bounds on evidence.
     All labels are learnt; the table is bounded by
     its buckets, which are halved until it fits ``CELLS``.  NULL labels and NULL texts train nothing.  Without any labelled text ``OTHER`` is the only language.
     """
@@ -73,9 +79,10 @@ def train_text_model(
     model = np.full((len(names), buckets), smoothing)
     if names:
         at = {x: i for i, x in enumerate(names)}
-        share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, sample / r[1]))]), F.col(lang_col))
-        spot = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-        chosen = some.where(spot < share).select(lang_col, text_col).limit(4 * sample * len(names))
+        part = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, sample / r[1]))]), F.col(lang_col))
+        place = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("language"))
+        chosen = some.where(F.pmod(place, F.lit(1 << 20)) / float(1 << 20) < part).select(lang_col, text_col, place.alias("_place"))
+        chosen = chosen.orderBy(F.pmod("_place", F.lit(1 << 20)), "_place").limit(4 * sample * len(names))
         for r in chosen.toLocalIterator():
             row = model[at[r[0]]]
             for codes in _trigrams(r[1]):
@@ -83,7 +90,7 @@ def train_text_model(
     table = np.log(model / model.sum(1, keepdims=True)) if names else np.zeros((0, buckets))
     # Text that fits a language gains several nats a trigram over an even spread of the 40,000 that occur or so.
     even = np.full((1, buckets), -np.log(float(buckets)))
-    return TextModel((*names, OTHER), np.ascontiguousarray(np.concatenate([table, even]).T, dtype=np.float32))
+    return TextModel((*names, OTHER), np.ascontiguousarray(np.concatenate([table, even]).T, dtype=np.float32), share, most)
 
 
 def text_likelihoods(docs: DataFrame, model: TextModel, text: Column, keep: list[Column]) -> DataFrame:
