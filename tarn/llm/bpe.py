@@ -266,9 +266,9 @@ _ENCODERS: dict[tuple[int, int], ChunkEncoder] = {}
 
 
 def encode_decode(
-    docs: DataFrame, tokenizer_path: str, outputs: Sequence[str] = ("ids", "decoded"), id_col: str = "doc_id", text_col: str = "text", mean: int = 1024
+    docs: DataFrame, tokenizer_path: str, outputs: Sequence[str] = ("ids", "decoded"), id_col: str = "doc_id", text_col: str = "text", mean: int = 1024, keep: str | None = None
 ) -> DataFrame:
-    """Encode every whole text and decode it again: (id, *outputs).
+    """Encode every whole text and decode it again: (id, *outputs), and the long column ``keep`` as it is.
 
     One pass without a shuffle: each task keeps the ids of the chunks that it has met within a bound, so passages that
     documents of a task share are encoded once.  The tokenizer's file (its size is fixed) is read by the driver and
@@ -301,7 +301,8 @@ def encode_decode(
                     text = encoder.decode(ids)
                     found.append([OUTPUTS[n][1](ids, text) for n in names])
                 columns = [pa.array([f[k] for f in found], ARROW[OUTPUTS[n][0]]) for k, n in enumerate(names)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_col, *names])
+                yield pa.RecordBatch.from_arrays([b.column(0), *columns, *b.columns[2:]], names=[id_col, *names, *more])
 
-    schema = ", ".join([f"`{id_col}` long", *[f"`{n}` {OUTPUTS[n][0]}" for n in names]])
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    more = [keep] if keep else []
+    schema = ", ".join([f"`{id_col}` long", *[f"`{n}` {OUTPUTS[n][0]}" for n in names], *[f"`{n}` long" for n in more]])
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), *[F.col(n).cast("long") for n in more]).mapInArrow(run, schema)

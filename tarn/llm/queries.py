@@ -44,7 +44,8 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"), keep=("source",))
     first = mixed.withColumn("first_position", F.try_element_at("positions", F.lit(1)))
-    return first.repartitionByRange(F.col("first_position").asc_nulls_last()).sortWithinPartitions(F.col("first_position").asc_nulls_last())
+    order = [F.col("first_position").asc_nulls_last(), F.col("doc_id")]  # documents not taken have no position, and are many
+    return first.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,15 +57,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long.  One pass without a shuffle."""
+    """(id, fp, text_hash): fp is the fingerprint as a signed long.  One pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64)), b.column(2)], names=[id_col, "fp", "text_hash"])
 
-    slim = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return slim.mapInArrow(run, f"`{id_col}` long, fp long")
+    slim = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col).alias("text_hash"))
+    return slim.mapInArrow(run, f"`{id_col}` long, fp long, text_hash long")
 
 
 @cache
@@ -162,12 +162,34 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whose id is NULL are returned and link others, but never name a component unless they are alone in it (NULL
     then).  Empty tables give an empty table; other columns are ignored.
     """
+    return _rooted(docs, id_col, text_col).select(id_col, "fingerprint", "component_id")
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As ``simhash_groups``, with ``root``, a fingerprint that names the group whatever its ids are, and ``text_hash``."""
     prints = durable(with_fingerprints(docs, id_col, text_col), "simhash")
     nodes = durable(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash")
     roots = durable(components(durable(fingerprint_links(nodes.select("fp")), "simhash"), "simhash"), "simhash")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = durable(rooted.join(names, "root").select("fp", "component_id"), "simhash")
+    named = durable(rooted.join(names, "root").select("fp", "component_id", "root"), "simhash")
     return prints.join(named, "fp").select(
-        id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash", "root"
     )
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one row of each near-duplicate group: that of the least id, then of the least hash of its text.
+
+    Rows without an id come last in a group.  Rows that repeat id and text are one document, of which one row stays.
+    """
+    groups = _rooted(docs, id_col, text_col)
+    times = groups.groupBy("root", F.coalesce(F.col(id_col), F.lit(0)).alias("_g_at"), F.col(id_col).isNull().alias("_g_none"), "text_hash").agg(F.count(F.lit(1)).alias("_g_times"))
+    first = times.groupBy("root").agg(F.min(F.struct("_g_none", "_g_at", "text_hash", "_g_times")).alias("_f"))
+    stay = durable(first.select("_f._g_none", "_f._g_at", F.col("_f.text_hash").alias("_g_hash"), "_f._g_times"), "simhash")
+    own = docs.withColumns({"_g_at": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_g_none": F.col(id_col).isNull(), "_g_hash": F.xxhash64(text_col)})
+    kept = own.join(stay, ["_g_none", "_g_at", "_g_hash"])
+    # Only documents that are there more than once are shuffled to find their one row.
+    once = kept.where("_g_times = 1")
+    again = kept.where("_g_times > 1").dropDuplicates(["_g_none", "_g_at", "_g_hash"])
+    return once.unionByName(again).select(*docs.columns)
