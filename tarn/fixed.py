@@ -91,3 +91,7 @@ WRITER_FEATURES = {
     "generatedColumns": False,
     "identityColumns": False,
 }
+
+# How statistics spell times: written to the millisecond, read to the nanosecond.
+STATS_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS"}
+STATS_READ_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][XXX]"}

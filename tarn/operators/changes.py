@@ -12,8 +12,8 @@ from tarn import fixed
 from tarn.functions.expressions import Predicate
 from tarn.sources import actions
 from tarn.sources.log import LogFile, TableError, list_log
-from tarn.sources.files import absolute
-from tarn.table import Snapshot, Table, _metadata, _protocol, _spark_uri, deleted_rows, file_key, read_commits, read_files
+from tarn.sources.files import absolute, spark_uri
+from tarn.table import Snapshot, Table, _metadata, _protocol, deleted_rows, file_key, read_commits, read_files
 
 CHANGE_TYPE, COMMIT_VERSION, COMMIT_TIME = "_change_type", "_commit_version", "_commit_timestamp"
 
@@ -168,7 +168,7 @@ class ChangeFeed:
             for x in left:
                 (later if x[1].path in seen else now).append(x)
                 seen.add(x[1].path)
-            uri = {x[1].path: _spark_uri(absolute(s.root, x[1].path)) for x in now}
+            uri = {x[1].path: spark_uri(absolute(s.root, x[1].path)) for x in now}
             marked = deleted_rows(s.spark, s.root, [(uri[x[more].path], x[more].deletionVector) for x in now])
             others = [(uri[x[less].path], x[less].deletionVector) for x in now if x[less].deletionVector is not None]
             if others:

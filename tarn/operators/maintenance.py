@@ -61,7 +61,7 @@ def _shaped(s: Snapshot, rows: DataFrame) -> DataFrame:
     as_struct = s.metadata.configuration.get(fixed.P_STATS_STRUCT, "false") == "true"
     add = F.col("add").withField("dataChange", F.lit(False))
     if as_struct:
-        add = add.withField("stats_parsed", F.from_json(F.col("add.stats"), s.stats_schema()))
+        add = add.withField("stats_parsed", F.from_json(F.col("add.stats"), s.stats_schema(), fixed.STATS_READ_FORMATS))
         parts = [parsed_partition(F.element_at(F.col("add.partitionValues"), F.lit(s.physical[(c,)][0])), s.schema[c].dataType).alias(s.physical[(c,)][0]) for c in s.metadata.partition_columns]
         if parts:
             add = add.withField("partitionValues_parsed", F.struct(*parts))
@@ -121,7 +121,7 @@ def checkpoint_shape(s: Snapshot) -> dict:
     """What a checkpoint is: a list of sidecars or the files themselves, and whether it has parsed statistics."""
     if not s.log.checkpoint:
         return {"kind": None}
-    columns = s._checkpoint_columns
+    columns = s._checkpoint_schema.names
     parsed = False
     if s.log.checkpoint[0].meta.name.endswith("parquet"):
         add = s.spark.read.parquet(s.log.checkpoint[0].meta.path).schema

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.functions.expressions import Expr, Predicate, quoted
+from tarn.sources.files import spark_uri
+from tarn.table import by_field_id
+
+
+#: Above this many files or deleted rows a table of them is shuffled and no longer broadcast.
+BROADCAST_ROWS = 200_000
 
 
 class PlanError(Exception):
@@ -37,8 +43,8 @@ def _with_constants(df: DataFrame, constants: dict[str, dict[str, Any]] | None,
     if constants:
         spark = df.sparkSession
         named = T.StructType([T.StructField("_file", T.StringType()), *kinds.fields])
-        rows = spark.createDataFrame([(k, *[v.get(f.name) for f in kinds.fields]) for k, v in constants.items()], named)
-        df = df.withColumn("_file", F.col("_metadata.file_path")).join(rows, "_file", "left").drop("_file")
+        rows = spark.createDataFrame([(spark_uri(k), *[v.get(f.name) for f in kinds.fields]) for k, v in constants.items()], named)
+        df = df.withColumn("_file", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")).join(F.broadcast(rows) if len(constants) <= BROADCAST_ROWS else rows, "_file")
         columns = [*columns, *[f.name for f in kinds.fields]]
     return df.select(*[F.col(quoted([c])) for c in columns])
 
@@ -47,17 +53,18 @@ def scan_parquet(
     spark: SparkSession, files: Sequence[str], schema: T.StructType, constants: dict[str, dict[str, Any]] | None = None, constant_schema: T.StructType | None = None, row_index: str | None = None
 ) -> DataFrame:
     """Rows of the files as exactly ``schema``: columns by field id where the schema has ids, then by name; a missing
-    nullable column is NULL, any other missing column an error.  ``constants`` are literals by file."""
+    nullable column is NULL, any other missing column an error.  ``constants`` are literals by file, for each of the files."""
     if not files:
         return spark.createDataFrame([], schema)
-    if any("parquet.field.id" in f.metadata for f in schema.fields):
-        spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
-        spark.conf.set("spark.sql.parquet.fieldId.read.ignoreMissing", "true")
+    if constants and (strange := {spark_uri(f) for f in files} ^ {spark_uri(f) for f in constants}):
+        raise PlanError(f"files and constants don't match: {sorted(strange)[:3]}")
+    by_id = any("parquet.field.id" in f.metadata for f in schema.fields)
+    reader = by_field_id(spark.read) if by_id else spark.read
     there = spark.read.parquet(*files).schema
     loose = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema.fields])
-    if not any("parquet.field.id" in f.metadata for f in schema.fields):
+    if not by_id:
         _checked(spark.createDataFrame([], loose), there, schema)
-    return _with_constants(spark.read.schema(loose).parquet(*files), constants, constant_schema, row_index, schema.names)
+    return _with_constants(reader.schema(loose).parquet(*files), constants, constant_schema, row_index, schema.names)
 
 
 def scan_json(spark: SparkSession, files: Sequence[str], schema: T.StructType) -> DataFrame:
@@ -150,10 +157,6 @@ def filter_rows(df: DataFrame, predicate: Predicate | Column) -> DataFrame:
     return df.where(_column(predicate))
 
 
-#: Above this many files or deleted rows a table of them is shuffled and no longer broadcast.
-BROADCAST_ROWS = 200_000
-
-
 def dynamic_scan(spark: SparkSession, upstream: DataFrame, path_column: str, base: str, schema: T.StructType, carry: Sequence[str] = ()) -> DataFrame:
     """Read the files that a relation names, relative to ``base``, with its columns ``carry`` on each of their rows.
 
@@ -185,8 +188,10 @@ def agg_max(c: str) -> Column:
 
 
 def agg_sum(c: str) -> Column:
-    """Sum of a long column; overflow is an error."""
-    return F.sum(F.col(c).cast("long"))
+    """Sum of a long column; a column of another type and overflow are errors."""
+    long = F.typeof(F.col(c)) == "bigint"
+    whole = F.col(c).bitwiseOR(F.lit(0).cast("long"))  # refused by analysis for other numbers than integers
+    return F.sum(F.when(long, whole).otherwise(F.raise_error(F.lit(f"the sum of {c} needs a long column")).cast("long")))
 
 
 def agg_count(c: str) -> Column:

@@ -11,6 +11,10 @@ from urllib.parse import quote, unquote, urlsplit
 from pyspark.sql import SparkSession
 
 
+#: Schemes whose rename is atomic and refuses a name that exists.
+EXCLUSIVE_RENAME = {"hdfs", "webhdfs", "viewfs", "abfs", "abfss"}
+
+
 @dataclass(frozen=True, order=True)
 class FileMeta:
     path: str
@@ -61,7 +65,13 @@ class Files:
             out.close()
 
     def put_if_absent(self, path: str, data: bytes) -> bool:
-        """Write a whole file under a name that must be free; False if it is taken.  Readers never see half a file."""
+        """Write a whole file under a name that must be free; False if it is taken.  Readers never see half a file.
+
+        Where neither a hard link nor an atomic rename gives that, as on object stores, nothing is written and an error
+        is raised: commits there go through a committer of their own.
+        """
+        if self.scheme != "file" and self.scheme not in EXCLUSIVE_RENAME:
+            raise OSError(f"{self.scheme}: has no atomic way to write a file only if it is absent")
         target = self._path(path)
         self.fs.mkdirs(target.getParent())
         temp = self._path(f"{target.getParent().toString()}/.{uuid.uuid4().hex}.tmp")
@@ -70,7 +80,7 @@ class Files:
             if self.scheme == "file":  # a hard link refuses a name that exists; a local rename would replace it
                 os.link(unquote(urlsplit(temp.toString()).path), unquote(urlsplit(target.toString()).path))
                 return True
-            return not self.fs.exists(target) and bool(self.fs.rename(temp, target))
+            return bool(self.fs.rename(temp, target))
         except FileExistsError:
             return False
         finally:
@@ -87,6 +97,15 @@ class Files:
         return self.fs.getFileStatus(self._path(path)).getLen()
 
 
+def spark_uri(path: str) -> str:
+    """A path as ``_metadata.file_path`` spells it, but with one slash after ``file:``."""
+    if path.startswith("/"):
+        path = "file:" + path
+    scheme, _, rest = path.partition(":")
+    rest = "".join(c if ord(c) > 127 else quote(c, safe="/:@!$&'()*+,;=~-._") for c in rest)
+    return f"{scheme}:{'/' + rest.lstrip('/') if scheme == 'file' else rest}"
+
+
 def encode_path(path: str) -> str:
     """A relative path as the log stores it: a URI reference."""
     return quote(path, safe="/=:@!$&'()*+,;~-._")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,11 +27,15 @@ from tarn.functions import deletion_vectors as dv
 from tarn.functions.expressions import OpaquePredicate, Predicate, Stats, always_false, parsed_partition, quoted, skipping_filter
 from tarn.functions.parser import parse_predicate
 from tarn.sources import actions
-from tarn.sources.files import Files, absolute
+from tarn.sources.files import Files, absolute, spark_uri
 from tarn.sources.log import LogFile, LogSegment, TableError, list_log, segment
 
 #: Side tables above this many rows are joined by shuffle; below, they are broadcast.
 BROADCAST_ROWS = 200_000
+#: Commits of so many bytes in all are read as one partition.
+SMALL_LOG = 32 << 20
+#: So many commits of so many bytes in all are searched for protocol and metadata without a job.
+FEW_COMMITS, FEW_BYTES = 16, 8 << 20
 NO_STATS = (T.BooleanType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType, T.NullType, T.DayTimeIntervalType, T.YearMonthIntervalType)
 
 
@@ -207,6 +212,19 @@ def to_logical(c: Column, kind: T.DataType, mode: str) -> Column:
     return F.transform_values(c, lambda _, x: to_logical(x, kind.valueType, mode))
 
 
+def conformed(c: Column, have: T.StructType, want: T.StructType) -> Column:
+    """A struct with the fields of ``want`` from one with those of ``have``: missing fields are NULL, others are cast."""
+    fields = []
+    for f in want.fields:
+        if f.name not in have.names:
+            fields.append(F.lit(None).cast(f.dataType).alias(f.name))
+        elif isinstance(f.dataType, T.StructType):
+            fields.append(conformed(c[f.name], have[f.name].dataType, f.dataType).alias(f.name))
+        else:
+            fields.append((c[f.name] if have[f.name].dataType == f.dataType else c[f.name].cast(f.dataType)).alias(f.name))
+    return F.when(c.isNotNull(), F.struct(*fields))
+
+
 #: A file's identity: its path and its deletion vector.
 def file_key(action: str) -> Column:
     d = F.col(f"{action}.deletionVector")
@@ -244,33 +262,52 @@ class Snapshot:
         """Actions of the commits after the checkpoint, with ``version``."""
         return read_commits(self.spark, self.log.cover(), *kinds)
 
+    def _top_schema(self, path: str) -> T.StructType:
+        return self.spark.read.parquet(path).schema if path.endswith("parquet") else actions.schema()
+
     @cached_property
-    def _checkpoint_columns(self) -> list[str]:
-        first = self.log.checkpoint[0].meta
-        return self.spark.read.parquet(first.path).columns if first.name.endswith("parquet") else list(actions.KINDS)
+    def _checkpoint_schema(self) -> T.StructType:
+        return self._top_schema(self.log.checkpoint[0].meta.path)
 
-    def checkpoint(self, *kinds: str) -> DataFrame | None:
-        """Actions of the checkpoint, its sidecars included; None without a checkpoint."""
+    def checkpoint(self, *kinds: str, parsed: bool = False) -> DataFrame | None:
+        """Actions of the checkpoint, its sidecars included; None without a checkpoint.
+
+        Statistics that a checkpoint holds only as a struct come as JSON too.  With ``parsed`` adds keep that struct, as
+        ``stats_parsed`` of the table's ``stats_schema``, NULL where the checkpoint has only JSON.
+        """
         if not self.log.checkpoint:
             return None
         kinds = kinds or tuple(actions.KINDS)
         want = actions.schema(*kinds)
+        if parsed:
+            struct = T.StructField("stats_parsed", self.stats_schema())
+            want = T.StructType([T.StructField("add", T.StructType([*f.dataType.fields, struct])) if f.name == "add" else f for f in want.fields])
         paths = [f.meta.path for f in self.log.checkpoint]
 
-        def load(files: list[str], columns: list[str]) -> DataFrame:
-            here = [k for k in kinds if k in columns]
-            read = self.spark.read.schema(actions.schema(*here)) if here else None
-            if read is None:
+        def load(files: list[str], there: T.StructType) -> DataFrame:
+            here = [k for k in kinds if k in there.names]
+            if not here:
                 return self.spark.createDataFrame([], want)
+            held = there["add"].dataType["stats_parsed"] if "add" in here and "stats_parsed" in there["add"].dataType.names else None
+            schema = actions.schema(*here)
+            if held is not None:
+                schema = T.StructType([T.StructField("add", T.StructType([*f.dataType.fields, held])) if f.name == "add" else f for f in schema.fields])
+            read = self.spark.read.schema(schema)
             df = read.json(files) if files[0].endswith(".json") else read.parquet(*files)
+            if held is not None:
+                add = F.col("add").withField("stats", F.coalesce("add.stats", F.to_json("add.stats_parsed", fixed.STATS_FORMATS)))
+                add = add.withField("stats_parsed", conformed(F.col("add.stats_parsed"), held.dataType, struct.dataType)) if parsed else add.dropFields("stats_parsed")
+                df = df.withColumn("add", F.when(F.col("add").isNotNull(), add))
+            elif parsed and "add" in here:
+                df = df.withColumn("add", F.when(F.col("add").isNotNull(), F.col("add").withField("stats_parsed", F.lit(None).cast(struct.dataType))))
             return df.select(*[F.col(k) if k in here else F.lit(None).cast(want[k].dataType).alias(k) for k in kinds])
 
-        df = load(paths, self._checkpoint_columns)
-        if "sidecar" in self._checkpoint_columns and {"add", "remove"} & set(kinds):
+        df = load(paths, self._checkpoint_schema)
+        if "sidecar" in self._checkpoint_schema.names and {"add", "remove"} & set(kinds):
             listed = load_sidecars(self.spark, paths)
             if listed:
                 names = [s if "/" in s else f"{self.root}/{fixed.LOG_DIR}/{fixed.SIDECAR_DIR}/{s}" for s in listed]
-                df = df.unionByName(load(names, self.spark.read.parquet(names[0]).columns))
+                df = df.unionByName(load(names, self._top_schema(names[0])))
         return df
 
     @cached_property
@@ -280,6 +317,10 @@ class Snapshot:
             p, m = known.get("protocol"), known.get("metadata")
             if p and m:
                 return _protocol(p), _metadata(m)
+        if not self.log.checkpoint and len(self.log.commits) <= FEW_COMMITS and sum(f.meta.size for f in self.log.commits) <= FEW_BYTES:
+            found = self._protocol_metadata_here()
+            if found:
+                return found
         at = F.lit(self.log.checkpoint_version if self.log.checkpoint else -1).cast("long")
         rows = self.commits("protocol", "metaData")
         old = self.checkpoint("protocol", "metaData")
@@ -293,6 +334,19 @@ class Snapshot:
             raise TableError("the log has no protocol or no metadata")
         return _protocol(got.p.asDict(True)), _metadata(got.m.asDict(True))
 
+    def _protocol_metadata_here(self) -> tuple[Protocol, Metadata] | None:
+        """Both from a few small commits, read without a job, the newest first; None unless both are found."""
+        found: dict = {}
+        for f in sorted(self.log.commits, key=lambda f: -f.version):
+            for text in reversed(self.files.read(f.meta.path).decode().splitlines()):
+                if '"protocol"' in text or '"metaData"' in text:
+                    action = json.loads(text)
+                    for kind in {"protocol", "metaData"} & action.keys() - found.keys():
+                        found[kind] = action[kind]
+            if len(found) == 2:
+                return _protocol(found["protocol"]), _metadata(found["metaData"])
+        return None
+
     @property
     def protocol(self) -> Protocol:
         return self._protocol_metadata[0]
@@ -373,9 +427,15 @@ class Snapshot:
         The newest action of each file key in the commits wins; the checkpoint's files follow unless a commit speaks of
         them.  ``keep``, a filter over adds, is applied before anything is shuffled; removes always stay.
         """
-        old = self.checkpoint("add")
+        old = self.checkpoint("add", parsed=keep is not None)
         old = None if old is None else old.where("add is not null").select("add.*")
-        return self._reconciled(self.commits("add", "remove"), old, keep)
+        commits = self.log.cover()
+        if not commits and old is not None:  # nothing after the checkpoint to hold against it
+            return keep(old) if keep else old
+        rows = self.commits("add", "remove")
+        if sum(f.meta.size for f in commits) <= SMALL_LOG:
+            rows = rows.coalesce(1)  # a short log is grouped where it is read, without a shuffle
+        return self._reconciled(rows, old, keep)
 
     @staticmethod
     def _reconciled(rows: DataFrame, old: DataFrame | None, keep: Callable | None) -> DataFrame:
@@ -403,8 +463,10 @@ class Snapshot:
         def keep(adds: DataFrame) -> DataFrame:
             nonlocal rule
             rule = skipping_filter(predicate, FileStats(self)) if rule is None else rule
-            parsed = adds.withColumn("_stats", F.from_json("stats", schema, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][XXX]", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX"}))
-            return parsed.where(~rule.eqNullSafe(F.lit(False))).drop("_stats")
+            stats = F.from_json("stats", schema, fixed.STATS_READ_FORMATS)
+            if "stats_parsed" in adds.columns:  # the struct of a checkpoint needs no parsing
+                stats = F.when(F.col("stats_parsed").isNotNull(), conformed(F.col("stats_parsed"), self.stats_schema(), schema)).otherwise(stats)
+            return adds.withColumn("_stats", stats).where(~rule.eqNullSafe(F.lit(False))).drop("_stats", "stats_parsed")
 
         return keep
 
@@ -423,7 +485,7 @@ class Snapshot:
             df = df.withColumn("partitionValues_parsed", F.struct(*[parsed_partition(F.element_at("partitionValues", F.lit(p)), k).alias(c) for p, c, k in parts]) if parts else F.lit(None))
         if isinstance(stats, (list, tuple)) or stats == "struct":
             only = {self.resolve(tuple(c.split(".")))[0] for c in stats} if not isinstance(stats, str) else None
-            df = df.withColumn("stats_parsed", F.from_json("stats", self.stats_schema(only)))
+            df = df.withColumn("stats_parsed", F.from_json("stats", self.stats_schema(only), fixed.STATS_READ_FORMATS))
         return df if stats == "json" else df.drop("stats")
 
     def list_files_from(self, known: DataFrame, base: int, predicate: Predicate | str | None = None) -> DataFrame:
@@ -447,7 +509,7 @@ class Snapshot:
         rows, where Spark pushes it into the Parquet reader.  ``row_id``, ``row_index`` and ``file_path`` name metadata columns to add.
         """
         predicate = _parsed(predicate)
-        files = self.list_files(predicate).collect()
+        files = self.list_files(predicate, stats=None).select("path", "partitionValues", "deletionVector", "baseRowId").collect()
         return read_files(self, files, columns, predicate, row_id, row_index, file_path)
 
     # Points
@@ -549,13 +611,9 @@ def commit_time(files: Files, version: int, in_commit: bool, log: LogSegment | N
     return meta.modified
 
 
-def _spark_uri(path: str) -> str:
-    """A path as ``_metadata.file_path`` spells it."""
-    if path.startswith("/"):
-        path = "file:" + path
-    scheme, _, rest = path.partition(":")
-    rest = "".join(c if ord(c) > 127 else quote(c, safe="/:@!$&'()*+,;=~-._") for c in rest)
-    return f"{scheme}:{'/' + rest.lstrip('/') if scheme == 'file' else rest}"
+def by_field_id(reader: DataFrameReader) -> DataFrameReader:
+    """A reader that takes Parquet columns by their ids; the session keeps its settings."""
+    return reader.option("spark.sql.parquet.fieldId.read.enabled", "true").option("spark.sql.parquet.fieldId.read.ignoreMissing", "true")
 
 
 def _glob_safe(path: str) -> str:
@@ -608,11 +666,9 @@ def read_files(s: Snapshot, files: list, columns: list[str] | None = None, predi
     if row_id and not s.metadata.flag(fixed.P_ROW_TRACKING):
         raise TableError("row ids need row tracking")
     read_schema = T.StructType([*physical.fields, *([T.StructField(row_ids, T.LongType())] if row_ids else []), *physical_extra])
-    if mode == "id":
-        s.spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
-        s.spark.conf.set("spark.sql.parquet.fieldId.read.ignoreMissing", "true")
-    df = s.spark.read.schema(read_schema).parquet(*dict.fromkeys(_glob_safe(p) for p in paths))
-    with_vectors = [(_spark_uri(p), f["deletionVector"]) for p, f in zip(paths, files, strict=True) if f["deletionVector"] is not None]
+    reader = by_field_id(s.spark.read) if mode == "id" else s.spark.read
+    df = reader.schema(read_schema).parquet(*dict.fromkeys(_glob_safe(p) for p in paths))
+    with_vectors = [(spark_uri(p), f["deletionVector"]) for p, f in zip(paths, files, strict=True) if f["deletionVector"] is not None]
     shown = [c for c in needed if c in partitions]
     facts = bool(shown or row_id or extra)
     df = df.select("*", *[c for c in ([F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("_file")] if facts or with_vectors or file_path else []) + ([F.col("_metadata.row_index").alias("_row")] if with_vectors or row_id or row_index else [])])
@@ -625,7 +681,7 @@ def read_files(s: Snapshot, files: list, columns: list[str] | None = None, predi
         kinds += [T.StructField(f"_x{i}", T.LongType() if all(isinstance(x, int) for x in v) else T.StringType()) for i, v in enumerate(extra.values())]
         physical_names = [s.resolve((c,))[0][0] for c in shown]
         rows = [
-            (_spark_uri(p), *[(f["partitionValues"] or {}).get(n) for n in physical_names], f["baseRowId"] if row_id else None, *[v[i] for v in extra.values()])
+            (spark_uri(p), *[(f["partitionValues"] or {}).get(n) for n in physical_names], f["baseRowId"] if row_id else None, *[v[i] for v in extra.values()])
             for i, (p, f) in enumerate(zip(paths, files, strict=True))
         ]
         facts_df = s.spark.createDataFrame(rows, T.StructType(kinds))
@@ -684,19 +740,46 @@ class Table:
             times.append((f.version, max(t, times[-1][1] + 1) if times and f.version not in in_commit else t))
         return times
 
+    def _search(self, timestamp_ms: int, from_right: bool) -> tuple[list[int], int]:
+        """All versions and how many are before the time, or not after it (``from_right``), without reading every commit.
+
+        Times rise with versions, so in-commit times are looked up by halving: one small read for each step.
+        """
+        commits = sorted((f for f in list_log(self.files) if f.kind == "commit"), key=lambda f: f.version)
+        conf = self.snapshot().metadata
+        start = int(conf.configuration.get(fixed.P_ICT_VERSION, 0)) if conf.flag(fixed.P_ICT) else None
+        by_file: list[int] = []
+        for f in commits:
+            by_file.append(max(f.meta.modified, by_file[-1] + 1) if by_file else f.meta.modified)
+
+        def time(i: int) -> int:
+            if start is None or commits[i].version < start:
+                return by_file[i]
+            info = json.loads(self.files.read(commits[i].meta.path).split(b"\n", 1)[0]).get("commitInfo", {})
+            return info.get("inCommitTimestamp", by_file[i])
+
+        # Times by file and in-commit times each rise; the border between them is one more comparison.
+        border = len(commits) if start is None else next((i for i, f in enumerate(commits) if f.version >= start), len(commits))
+        look = bisect_right if from_right else bisect_left
+        if border < len(commits) and (time(border) <= timestamp_ms if from_right else time(border) < timestamp_ms):
+            at = look(range(len(commits)), timestamp_ms, lo=border, key=time)
+        else:
+            at = look(by_file, timestamp_ms, hi=border)
+        return [f.version for f in commits], at
+
     def version_at(self, timestamp_ms: int) -> int:
         """The last version committed at the time or before it."""
-        found = [v for v, t in self.history() if t <= timestamp_ms]
-        if not found:
+        versions, n = self._search(timestamp_ms, True)
+        if not n:
             raise TableError("the time is before the first commit")
-        return max(found)
+        return versions[n - 1]
 
     def version_from(self, timestamp_ms: int) -> int:
         """The first version committed at the time or after it."""
-        found = [v for v, t in self.history() if t >= timestamp_ms]
-        if not found:
+        versions, n = self._search(timestamp_ms, False)
+        if n == len(versions):
             raise TableError("the time is after the last commit")
-        return min(found)
+        return versions[n]
 
     def versions_between(self, start_ms: int, end_ms: int | None = None) -> tuple[int, int | None]:
         first = self.version_from(start_ms)

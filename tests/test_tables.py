@@ -375,3 +375,65 @@ def test_resumed_lists_and_text_predicates(spark, tmp_path):
     with cancellable(spark, "g") as cancel:
         assert spark.range(5).count() == 5
         cancel()
+
+
+def test_sum_takes_longs_only(spark):
+    df = spark.createDataFrame([(1.7, 1, 2), (1.9, 2, 3)], "d double, i int, n bigint")
+    assert R.aggregate(df, [], R.agg_sum("n").alias("s")).first().s == 5
+    for c in ("d", "i"):
+        with pytest.raises(Exception, match="long|MISMATCH"):
+            R.aggregate(df, [], R.agg_sum(c).alias("s")).collect()
+
+
+def test_constants_belong_to_files(spark, tmp_path):
+    df = spark.range(3).coalesce(1)
+    for name in ("a b", "c"):
+        df.write.parquet(str(tmp_path / name))
+    files = [str(next((tmp_path / n).glob("*.parquet"))) for n in ("a b", "c")]
+    kinds = T.StructType.fromDDL("k string")
+    rows = R.scan_parquet(spark, files, df.schema, {f: {"k": f[-30:]} for f in files}, kinds).collect()
+    assert sorted((r.id, r.k) for r in rows) == sorted((i, f[-30:]) for i in range(3) for f in files)
+    with pytest.raises(R.PlanError):
+        R.scan_parquet(spark, files, df.schema, {files[0]: {"k": "x"}}, kinds)
+
+
+def test_reading_by_id_leaves_the_session_alone(spark, tmp_path):
+    before = spark.conf.get("spark.sql.parquet.fieldId.read.enabled")
+    t, df = small(spark, tmp_path, properties={fixed.P_MAPPING: "id"})
+    assert t.snapshot().scan().count() == 40 and spark.conf.get("spark.sql.parquet.fieldId.read.enabled") == before
+
+
+def test_statistics_outlive_struct_only_checkpoints(spark, tmp_path):
+    t, df = small(spark, tmp_path, properties={fixed.P_STATS_STRUCT: "true", fixed.P_STATS_JSON: "false"})
+    kept, rows = t.snapshot().list_files(col("id") < 20).count(), sorted(r.stats for r in t.snapshot().list_files().collect())
+    for _ in range(2):
+        assert write_checkpoint(t.snapshot()) and checkpoint_shape(t.snapshot())["parsed_stats"]
+        s = t.snapshot()
+        assert s.list_files(col("id") < 20).count() == kept == 1
+        assert [json.loads(x)["numRecords"] for x in sorted(r.stats for r in s.list_files().collect())] == [json.loads(x)["numRecords"] for x in rows]
+        assert s.scan(predicate=col("id") < 20).count() == df.where("id < 20").count()
+        Transaction(s).set_app("x", s.version).commit()
+
+
+def test_times_are_searched(spark, tmp_path):
+    t, df = small(spark, tmp_path, properties={fixed.P_ICT: "true"})
+    for _ in range(4):
+        Transaction(t.snapshot()).append(df.limit(1)).commit()
+    times = t.history()
+    reads, read = [], t.files.read
+    t.files.read = lambda path: reads.append(path) or read(path)
+    for v, at in times:
+        assert t.version_at(at) == v == t.version_from(at) and t.version_at(at + 0) == v
+    assert t.version_from(times[2][1] + 1) == 3 and t.version_at(times[-1][1] + 10**6) == times[-1][0]
+    with pytest.raises(TableError):
+        t.version_at(times[0][1] - 1)
+    with pytest.raises(TableError):
+        t.version_from(times[-1][1] + 1)
+
+
+def test_no_commit_without_an_atomic_write(spark, tmp_path):
+    files = Files(spark, str(tmp_path))
+    files.scheme = "s3a"
+    with pytest.raises(OSError):
+        files.put_if_absent("x", b"1")
+    assert not (tmp_path / "x").exists()
