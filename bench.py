@@ -30,6 +30,23 @@ def synthetic_log(spark, root, adds):
     return t
 
 
+def many_commits(spark, root, commits, adds):
+    """A table whose log has so many commits of so many adds each, written as they would be."""
+    from pyspark.sql import types as T
+
+    from tarn import fixed
+    from tarn.sources import actions
+
+    t = create_table(spark, root, T.StructType.fromDDL("id bigint, v string"))
+    for c in range(commits):
+        lines = [actions.line("commitInfo", timestamp=c, operation="WRITE")]
+        for i in range(c * adds, (c + 1) * adds):
+            stats = json.dumps({"numRecords": 10, "nullCount": {"id": 0, "v": 0}, "minValues": {"id": i * 10}, "maxValues": {"id": i * 10 + 9}})
+            lines.append(actions.line("add", path=f"part-{i:08d}.parquet", partitionValues={}, size=1000 + i, modificationTime=1, dataChange=True, stats=stats))
+        t.files.write(f"{fixed.LOG_DIR}/{c + 1:020d}.json", ("\n".join(lines) + "\n").encode())
+    return t
+
+
 def main() -> None:
     d = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -67,6 +84,11 @@ def main() -> None:
         timed(f"file_list_{n}_adds", lambda log=log: drained(log.snapshot().list_files(col("id") < 500)))
     write_checkpoint(log.snapshot())
     timed("file_list_10000_adds_checkpoint", lambda: drained(log.snapshot().list_files(col("id") < 500)))
+    log = many_commits(spark, f"{work}/log1k", 1_000, 101)
+    timed("snapshot_1000_commits", lambda: log.snapshot().protocol)
+    timed("file_list_1000_commits_101000_adds", lambda: drained(log.snapshot().list_files(col("id") < 500)))
+    write_checkpoint(log.snapshot())
+    timed("file_list_101000_adds_checkpoint", lambda: drained(log.snapshot().list_files(col("id") < 500)))
     try:
         from tarn.llm import queries as llm
     except ModuleNotFoundError as e:

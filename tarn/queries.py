@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,12 +13,15 @@ from pyspark.sql import types as T
 
 from tarn import fixed
 from tarn.functions.expressions import (
-    And, Array, Cast, Coalesce, Compare, Divide, In, IntDivide, IsNull, Literal, MapToStruct, Not, Or, ParseJson, Struct, ToJson, col, lit,
+    And, Array, Cast, Coalesce, Compare, Divide, In, IntDivide, IsNull, Literal, MapToStruct, Not, Opaque, OpaquePredicate, Or, ParseJson, Struct, ToJson, UnknownPredicate, col, lit,
 )
 from tarn.operators.changes import ChangeFeed, commit_range, file_keys, incremental_scan, tracked_changes
-from tarn.operators.maintenance import HISTOGRAM, advance_checksum, histogram, write_checkpoint, write_checksum
-from tarn.operators.transaction import Transaction, create_table
+from tarn.operators.maintenance import HISTOGRAM, advance_checksum, checkpoint_shape, histogram, measured, write_checkpoint, write_checksum
+from tarn.operators.transaction import StagingCommitter, Transaction, create_table, publish
 from tarn.plans import relational as R
+from tarn.sources import actions
+from tarn.sources.log import parse
+from tarn.streaming.change_stream import stream_changes
 from tarn.table import Table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -434,3 +438,167 @@ def checksum_advanced(spark, d):
 def file_size_hist(spark, d):
     h = histogram(_versions(spark, d).snapshot().list_files())
     return spark.createDataFrame([(len(HISTOGRAM), sum(h["fileCounts"]))], "bins int, files bigint")
+
+
+# Further operators
+
+
+@query("SELECT n_nationkey, 'nations' AS origin, 7::BIGINT AS batch FROM nation UNION ALL SELECT r_regionkey, 'regions', 8 FROM region")
+def scan_parquet_constants(spark, d):
+    kinds = T.StructType.fromDDL("origin string, batch bigint")
+    nations, regions = f"{d}/nation.parquet", f"{d}/region.parquet"
+    one = R.scan_parquet(spark, [nations], read(spark, d, "nation").select("n_nationkey").schema, {nations: {"origin": "nations", "batch": 7}}, kinds)
+    two = R.scan_parquet(spark, [regions], read(spark, d, "region").select("r_regionkey").schema, {regions: {"origin": "regions", "batch": 8}}, kinds)
+    return R.union_all(one, two.withColumnRenamed("r_regionkey", "n_nationkey"))
+
+
+@query("SELECT checkpoints, 1::BIGINT AS files, (SELECT COUNT(*) FROM orders) AS row_count FROM (VALUES ('none'), ('one'), ('two')) t(checkpoints)")
+def checkpoint_struct_only_pruned(spark, d):
+    """Files kept by a predicate, and rows by statistics, before and after checkpoints that hold statistics as a struct only."""
+    t = new_table(spark, orders(spark, d), files=4, by="o_orderkey", properties={fixed.P_STATS_STRUCT: "true", fixed.P_STATS_JSON: "false"})
+    out = []
+
+    def look(name):
+        s = t.snapshot()
+        out.append((name, s.list_files(col("o_orderkey") < 3).count(), s.list_files(stats="struct").agg(F.sum("stats_parsed.numRecords")).first()[0]))
+
+    look("none")
+    for name in ("one", "two"):
+        write_checkpoint(t.snapshot())
+        look(name)
+        Transaction(t.snapshot()).set_app("a", len(out)).commit()
+    return spark.createDataFrame(out, "checkpoints string, files bigint, row_count bigint")
+
+
+@query(f"SELECT {ORDERS} FROM orders WHERE o_orderkey % 5 <> 0")
+def compacted_log(spark, d):
+    """A compacted file stands for versions 1 to 6, the last of which removes what the first added."""
+    t = _versions(spark, d)
+    Transaction(t.snapshot()).remove_files(t.snapshot(1).list_files()).commit()
+    lines = [x for v in range(1, 7) for x in t.files.read(f"{fixed.LOG_DIR}/{v:020d}.json").decode().splitlines()]
+    gone = {json.loads(x)["remove"]["path"] for x in lines if x.startswith('{"remove"')}
+    kept = [x for x in lines if not x.startswith('{"add"') or json.loads(x)["add"]["path"] not in gone]  # the newest action of each file
+    t.files.write(f"{fixed.LOG_DIR}/{1:020d}.{6:020d}.compacted.json", ("\n".join(kept) + "\n").encode())
+    s = t.snapshot()
+    return s.scan() if len(s.log.cover()) == 2 else s.scan().limit(0)
+
+
+@query(f"SELECT 'tail' AS seen, {ORDERS} FROM orders WHERE o_orderkey % 5 < 2 UNION ALL SELECT 'published', {ORDERS} FROM orders WHERE o_orderkey % 5 < 2")
+def staged_commits(spark, d):
+    """A commit that a catalog has ratified is seen through the log's tail, and by all once it is published."""
+    rows, staged = orders(spark, d), []
+    t = create_table(spark, scratch(spark), rows.schema)
+    Transaction(t.snapshot()).append(rows.where("o_orderkey % 5 = 0")).commit()
+    Transaction(t.snapshot(), committer=StagingCommitter(lambda version, path: staged.append(path) or True)).append(rows.where("o_orderkey % 5 = 1")).commit()
+    tail = t.snapshot(log_tail=[parse(f) for f in t.files.list(f"{fixed.LOG_DIR}/{fixed.STAGED_DIR}")]).scan()
+    tail = tail.select(F.lit("tail").alias("seen"), *ORDERS.split(", "))
+    publish(t.files, 2, staged[0])
+    return tail.unionByName(t.snapshot().scan().select(F.lit("published").alias("seen"), *ORDERS.split(", ")))
+
+
+@query("SELECT 'app' AS app, 7::BIGINT AS version, 'two' AS mine, NULL::VARCHAR AS other")
+def application_versions_and_domains(spark, d):
+    t = new_table(spark, orders(spark, d), by="o_orderkey", properties={fixed.FEATURE_PREFIX + "domainMetadata": "supported"})
+    Transaction(t.snapshot()).set_app("app", 6).set_domain("mine", "one").set_domain("other", "x").commit()
+    Transaction(t.snapshot()).set_app("app", 7).set_domain("mine", "two").commit()
+    Transaction(t.snapshot()).remove_domain("other").commit()
+    s = t.snapshot()
+    return spark.createDataFrame([("app", s.app_version("app"), s.domain("mine"), s.domain("other"))], "app string, version bigint, mine string, other string")
+
+
+@query("SELECT 2::BIGINT AS resumed, 2::BIGINT AS whole, true AS refreshed")
+def file_list_resumed(spark, d):
+    t = _versions(spark, d)
+    old = t.snapshot(3)
+    known = old.list_files()
+    Transaction(t.snapshot()).remove_files(known).commit()
+    s = old.refreshed()
+    rule = "o_orderkey < 100"
+    resumed, whole = s.list_files_from(known, 3, rule).count(), s.list_files(rule).count()
+    return spark.createDataFrame([(resumed // 2, whole // 2, s.version == 6 and s.refreshed() is s)], "resumed bigint, whole bigint, refreshed boolean")
+
+
+@query(f"SELECT {ORDERS}, 1::BIGINT AS files FROM orders WHERE o_orderkey < 5")
+def opaque_skipping(spark, d):
+    """A predicate of the host engine with a rule of its own over statistics; unknown predicates skip nothing."""
+    s = new_table(spark, orders(spark, d), by="o_orderkey").snapshot()
+    rule = OpaquePredicate(lambda: F.col("o_orderkey") < 5, lambda stats: stats.minimum(("o_orderkey",)) < 5)
+    files = s.list_files(And((rule, UnknownPredicate("later")))).count()
+    return s.scan(predicate=rule).withColumn("files", F.lit(files).cast("bigint"))
+
+
+@query("SELECT o_orderkey, o_orderkey * 2 AS doubled, o_custkey > 10 AS big FROM orders")
+def opaque_and_boolean_expressions(spark, d):
+    rows = orders(spark, d)
+    kind = rows.schema["o_orderkey"].dataType
+    schema = T.StructType([T.StructField("o_orderkey", kind), T.StructField("doubled", kind), T.StructField("big", T.BooleanType())])
+    return R.project(rows, [col("o_orderkey"), Opaque(lambda: F.col("o_orderkey") * F.lit(2).cast(kind)), col("o_custkey") > 10], schema)
+
+
+@query(f"SELECT {ORDERS}, '[[\"o_orderkey\"]]' AS layout FROM orders")
+def clustered_table(spark, d):
+    rows = orders(spark, d)
+    t = create_table(spark, scratch(spark), rows.schema, cluster_by=["o_orderkey"])
+    Transaction(t.snapshot()).append(rows).commit()
+    s = t.snapshot()
+    layout = json.dumps(json.loads(s.domain(fixed.CLUSTERING_DOMAIN, internal=True))["clusteringColumns"])
+    return s.scan().withColumn("layout", F.lit(layout))
+
+
+@query("SELECT 'manifest' AS kind, true AS parsed, 2::BIGINT AS events, true AS timed")
+def checkpoint_shape_and_events(spark, d):
+    t, events = _deleted(spark, d, **{fixed.P_CHECKPOINT_POLICY: "v2", fixed.P_STATS_STRUCT: "true"}), []
+    measured("checkpoint", events.append, lambda: write_checkpoint(t.snapshot(), sidecars=True, sidecar_rows=2))
+    shape = measured("shape", events.append, lambda: checkpoint_shape(t.snapshot()))
+    return spark.createDataFrame([(shape["kind"], shape["parsed_stats"], len(events), all(e.seconds > 0 for e in events))], "kind string, parsed boolean, events bigint, timed boolean")
+
+
+@query(f"SELECT {ORDERS}, 'update_postimage' AS _change_type, 2::BIGINT AS _commit_version FROM orders WHERE o_orderkey < 100")
+def change_feed_change_files(spark, d):
+    """A commit with change files is told by them alone, whatever it adds and removes."""
+    t = new_table(spark, orders(spark, d), by="o_orderkey", properties=_CDF)
+    orders(spark, d).where("o_orderkey < 100").withColumn("_change_type", F.lit("update_postimage")).coalesce(1).write.parquet(f"{t.root}/_change_data/one")
+    file = next(f for f in t.files.list("_change_data/one") if f.name.endswith(".parquet"))
+    known = t.snapshot().list_files().first().asDict(True)
+    lines = [actions.line("cdc", path=f"_change_data/one/{file.name}", partitionValues={}, size=file.size, dataChange=False), actions.line("remove", path=known["path"], deletionTimestamp=1, dataChange=True)]
+    t.files.write(f"{fixed.LOG_DIR}/{2:020d}.json", ("\n".join(lines) + "\n").encode())
+    return ChangeFeed(t, 2).scan().drop("_commit_timestamp")
+
+
+@query("SELECT event_id, event_type, 'insert' AS _change_type FROM events WHERE event_id % 4 < 2")
+def change_stream(spark, d):
+    """Two commits handled by a stream that stops when it has seen all there is."""
+    rows = read(spark, d, "events").select("event_id", "event_type")
+    t = create_table(spark, scratch(spark), rows.schema, properties=_CDF)
+    for k in range(2):
+        Transaction(t.snapshot()).append(rows.where(f"event_id % 4 = {k}")).commit()
+    out = scratch(spark)
+    stream_changes(spark, t.root, lambda changes, _: changes.select("event_id", "event_type", "_change_type").write.mode("append").parquet(out), scratch(spark), since=1).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("SELECT CAST(o_orderdate AS DATE) AS day, o_totalprice AS price, o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1993-01-01' AND o_totalprice < 100000")
+def typed_skipping(spark, d):
+    """Predicates over dates and doubles, by text, with the statistics of each type."""
+    rows = read(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").alias("price"), "o_orderkey")
+    s = new_table(spark, rows, files=6, by="day").snapshot()
+    return s.scan(predicate="day < DATE '1993-01-01' AND price < 100000")
+
+
+@query("SELECT o_orderkey, o_orderstatus, true AS placed, true AS in_file FROM orders")
+def metadata_columns(spark, d):
+    s = new_table(spark, orders(spark, d), by="o_orderkey").snapshot()
+    got = s.scan(["o_orderkey", "o_orderstatus"], row_index="at", file_path="path")
+    return got.select("o_orderkey", "o_orderstatus", (F.col("at") >= 0).alias("placed"), F.col("path").endswith(".parquet").alias("in_file"))
+
+
+@query(f"SELECT {ORDERS}, NULL::VARCHAR AS note FROM orders UNION ALL SELECT 0, NULL, NULL, NULL, 'x'")
+def nullable_and_added_columns(spark, d):
+    rows = orders(spark, d)
+    schema = T.StructType([T.StructField(f.name, f.dataType, f.name != "o_custkey") for f in rows.schema.fields])
+    t = create_table(spark, scratch(spark), schema)
+    Transaction(t.snapshot()).append(rows).commit()
+    Transaction(t.snapshot()).set_nullable("o_custkey").commit()
+    Transaction(t.snapshot()).add_column("note", T.StringType()).commit()
+    Transaction(t.snapshot()).append(spark.range(1).select(F.col("id").cast(rows.schema["o_orderkey"].dataType).alias("o_orderkey"), F.lit("x").alias("note"))).commit()
+    return t.snapshot().scan()
