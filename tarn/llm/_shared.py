@@ -43,6 +43,11 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when the driver's collector finds their plans gone."""
+    spark._jvm.System.gc()
+
+
 def running_total(df: DataFrame, order: Sequence[Column], values: Sequence[str], name: str = "prefix") -> DataFrame:
     """Exclusive prefix sums of the long columns ``values`` over all rows in ``order``, without one global task.
 
