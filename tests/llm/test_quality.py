@@ -1,11 +1,13 @@
 """Held-out accuracy and edges of the quality classifier."""
 
+import math
 import random
 import zlib
 
+import zstandard
 from pyspark.sql import functions as F
 
-from tarn.llm.quality import DifferenceScorer, fit_quality, held_out, score_quality
+from tarn.llm.quality import LEVEL, PIECE, DifferenceScorer, fit_quality, held_out, score_quality
 from tarn.llm.queries import op10_quality
 
 
@@ -75,3 +77,23 @@ def test_repeated_ids_count_once(spark):
     more = spark.createDataFrame(rows + rows[:20] * 30, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
     assert fit_quality(more, labels) == fit_quality(docs, labels)
+
+
+def test_scores_by_hand(spark):
+    """Ten scores from the model's dictionaries with plain zstandard calls, in pieces, and the logistic of the difference."""
+    rows, labels = made(400)
+    rows += [(900, "é" * 5000, "en", "s", 1), (901, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = fit_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in score_quality(docs, model).collect()}
+
+    def size(content, data):
+        made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made.precompute_compress(level=LEVEL)
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=False, write_dict_id=False)
+        return sum(len(packer.compress(data[at : at + PIECE])) for at in range(0, len(data), PIECE))
+
+    for i, text, *_ in [*rows[:8], *rows[-2:]]:
+        data = text.encode()
+        x = (size(model.bad, data) - size(model.good, data)) / len(data) - model.centre if data else 0.0
+        assert abs(got[i] - 1 / (1 + math.exp(-(x * model.weight + model.offset)))) < 1e-9
