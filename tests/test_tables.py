@@ -437,3 +437,16 @@ def test_no_commit_without_an_atomic_write(spark, tmp_path):
     with pytest.raises(OSError):
         files.put_if_absent("x", b"1")
     assert not (tmp_path / "x").exists()
+
+
+def test_staged_files_are_validated(spark, tmp_path):
+    t, df = small(spark, tmp_path, cluster_by=["id"])
+    file = {"path": "x.parquet", "size": 1, "modificationTime": 1, "partitionValues": {}}
+    stats = lambda **more: json.dumps({"numRecords": 2, "nullCount": {"id": 0}, "minValues": {"id": 1}, "maxValues": {"id": 2}, **more})
+    for bad in ({}, {"path": "", "stats": stats()}, {"size": -1, "stats": stats()}, {"stats": stats(minValues={})}, {"stats": stats(nullCount={})}, {"partitionValues": {"p": "1"}, "stats": stats()}):
+        with pytest.raises(TableError):
+            Transaction(t.snapshot()).add_files([file | bad])
+    good = file | {"stats": stats()}
+    Transaction(t.snapshot()).add_files([good, good | {"path": "y", "stats": json.dumps({"numRecords": 2, "nullCount": {"id": 2}})}])
+    with pytest.raises(TableError):
+        Transaction(t.snapshot()).add_files([good, good]).commit()
