@@ -11,6 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: The session setting by which Spark deletes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for durable intermediates: ``spark.checkpoint.dir`` of the session.
 
@@ -27,11 +31,21 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts lineage without keeping anything on one executor, fixes every value that depends on task layout, and
-    gives the planner the true size of what follows, so that it broadcasts only what is small.
+    gives the planner the true size of what follows, so that it broadcasts only what is small.  The shuffle files of the
+    step are deleted when it ends: they wouldn't be read again.
     """
-    path = f"{shared_dir(df.sparkSession)}/tarn-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tarn-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
@@ -43,11 +57,6 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so when the driver's collector finds their plans gone."""
-    spark._jvm.System.gc()
-
-
 def running_total(df: DataFrame, order: Sequence[Column], values: Sequence[str], name: str = "prefix") -> DataFrame:
     """Exclusive prefix sums of the long columns ``values`` over all rows in ``order``, without one global task.
 
