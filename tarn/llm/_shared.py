@@ -18,10 +18,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for durable intermediates: ``spark.checkpoint.dir`` of the session.
 
-    A temporary folder is set only where that is unset, as in local tests.
+    A temporary folder is set only where that is unset in local mode, as in tests; on a cluster it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tarn-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -66,7 +68,9 @@ def running_total(df: DataFrame, order: Sequence[Column], values: Sequence[str],
     Rows equal in every ``order`` column are taken in any order, so give enough columns to make ties identical.
     NULL values count as 0.  An empty table gives an empty table.
     """
-    ranged = durable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    rows = durable(df, name)  # dealing rows into ranges reads them twice, and what they are computed from only once this way
+    ranged = durable(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    forget(rows)
     amount = {v: F.coalesce(F.col(v).cast("long"), F.lit(0).cast("long")) for v in values}
     parts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(x).alias(f"_sum_{v}") for v, x in amount.items()])
     every = W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
