@@ -44,7 +44,11 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tarn-")
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
