@@ -104,15 +104,18 @@ def exact_topk(
     """
     rows = quantised(vectors, id_col, vector_col)
     spark = rows.sparkSession
-    # Blocks are dealt by hash; of the queries the driver sees only the count.
-    n_blocks = max(1, -(-rows.where(F.col("id") % query_every == 0).count() // query_block))
+    # Blocks are dealt by hash; of queries and vectors the driver sees only the counts.
+    n_asked, n_rows = rows.agg(F.count_if(F.col("id") % query_every == 0), F.count(F.lit(1))).first()
+    n_blocks = max(1, -(-n_asked // query_block))
     dealt = rows.where(F.col("id") % query_every == 0).repartition(n_blocks, F.xxhash64("id", "v"))
     dealt = dealt.mapInArrow(_packed(query_block), BLOCK_SCHEMA)
     dealt = durable(dealt.select(F.xxhash64("ids", "vals").alias("block"), *[F.col(c).alias("q_" + c) for c in ("ids", "vals", "width")]), "topk")
-    n_groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # Query blocks are copied once for each group of shards, so there are no more groups than blocks of vectors.
+    n_groups = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // shard_rows)))
     shards = rows.mapInArrow(_packed(shard_rows), BLOCK_SCHEMA).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(n_groups)).cast("int"))
     asked = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    tiles = asked.join(shards, "group")
+    # Both sides are shuffled: the planner takes the copies for as small as the blocks and would broadcast them by the driver.
+    tiles = asked.join(shards.hint("merge"), "group")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -66,6 +66,20 @@ def test_topk_edges(spark):
     assert sorted(map(tuple, twice.collect())) == [(0, 1, 3, 65536)] * 2
 
 
+def test_topk_sends_no_blocks_by_the_driver(spark):
+    """Copies of the query blocks, one for each group of shards, aren't broadcast."""
+    df = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.col("id") % 7, F.col("id") % 5).cast("array<float>").alias("embedding"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = exact_topk(df.repartition(2), k=2, query_every=500, shard_rows=1000)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+        assert got.count() == 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # Sharding
 
 
