@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -101,7 +102,8 @@ class ChunkEncoder:
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
         self.size = 0
-        self.words: dict[str, list[int]] = {}
+        # Tuples of numbers, unlike lists, aren't walked by the garbage collector each time that many more have been made.
+        self.words: dict[str, tuple[int, ...]] = {}
         self.by_word, self.model = separable(tokenizer), tokenizer.model
         # Without a decoder of its own, a tokenizer joins its tokens by spaces.
         plain = tokenizer.decoder is None
@@ -145,14 +147,14 @@ class ChunkEncoder:
             if core and core.isalpha() and low.isalpha() and (core.isascii() or self._latin(core)):
                 end = word[len(core) :]
                 if end and end not in self.words:
-                    self.words[end] = self.tokenizer.encode(end, add_special_tokens=False).ids
+                    self.words[end] = tuple(self.tokenizer.encode(end, add_special_tokens=False).ids)
                 mapped = low if core.isascii() else low.encode().decode("latin-1").translate(BYTE_MAP)
-                ids = [t.id for t in self.model.tokenize(mapped)]
+                ids = tuple([t.id for t in self.model.tokenize(mapped)])
                 self.words[word] = ids + self.words[end] if end else ids
             else:
                 rest.append(word)
         for word, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.words[word] = e.ids
+            self.words[word] = tuple(e.ids)
         return [list(chain.from_iterable(map(self.words.__getitem__, ws))) for ws in split]
 
     def _forget(self) -> None:
@@ -209,7 +211,20 @@ class ChunkEncoder:
         return " ".join(map(self.spelled.__getitem__, ids))
 
     def encode_batch(self, texts: Sequence[str]) -> list[list[int]]:
-        """The ids of each text: those of encoding it whole, without special tokens added."""
+        """The ids of each text: those of encoding it whole, without special tokens added.
+
+        Cyclic garbage collection rests meanwhile: a batch makes many small objects and no cycles, and each collection
+        walks all that is remembered.
+        """
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_batch(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_batch(self, texts: Sequence[str]) -> list[list[int]]:
         self._forget()
         cut = [chunks(t, self.mean) for t in texts]
         need = [c for cs in cut for c in cs]
@@ -241,9 +256,10 @@ _DECIMAL = [str(i) for i in range(1 << 18)]
 
 
 def _decimals(ids: Sequence[int]) -> str:
-    if ids and max(ids) >= len(_DECIMAL):
+    try:
+        return " ".join(map(_DECIMAL.__getitem__, ids))
+    except IndexError:
         return " ".join(map(str, ids))
-    return " ".join(map(_DECIMAL.__getitem__, ids))
 
 
 def _sha(text: str) -> str:

@@ -1,5 +1,6 @@
 """Chunked encoding against encoding whole texts."""
 
+import gc
 import hashlib
 import random
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tarn.llm import bpe
 from tarn.llm.bpe import ChunkEncoder, chunks, encode_decode
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -69,3 +71,31 @@ def test_words_one_by_one():
     encoder = ChunkEncoder(tokenizer)
     for w in words:
         assert encoder.encode_batch([w]) == [tokenizer.encode(w, add_special_tokens=False).ids], w
+
+
+@pytest.mark.parametrize("collecting", [True, False])
+def test_no_collection_inside_a_batch(collecting):
+    """Collections walk all remembered words: a batch makes none, and whether they run at all is as before it."""
+    rng = random.Random(4)
+    encoder, runs = ChunkEncoder(Tokenizer.from_file(PATH)), []
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(400)) for _ in range(40)]
+    note = lambda phase, info: runs.append((gc.isenabled(), phase))
+    was = gc.isenabled()
+    (gc.enable if collecting else gc.disable)()
+    gc.callbacks.append(note)
+    try:
+        encoder._encode_batch(texts)
+        unpaused, runs[:] = len(runs), []
+        encoder.words, encoder.young = {}, {}
+        encoder.encode_batch(texts)
+        inside = len(runs)
+    finally:
+        gc.callbacks.remove(note)
+        now = gc.isenabled()
+        (gc.enable if was else gc.disable)()
+    assert now == collecting and (unpaused > 2) == collecting and inside <= 2
+    assert all(type(ids) is tuple for ids in encoder.words.values())
+
+
+def test_decimals_of_any_id():
+    assert bpe._decimals([]) == "" and bpe._decimals([0, 7, 262143, 262144, 10**7]) == "0 7 262143 262144 10000000"
